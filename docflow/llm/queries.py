@@ -4,26 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docflow.llm import linededup, minhash
+from docflow.llm import itq, langid, linededup, minhash, quality
+from docflow.llm.folds import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~held_out("doc_id")))
+    out = quality.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_digest(_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
     return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out("doc_id")))
+    out = langid.identify(docs, model)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op4_line_dedup": op4_line_dedup,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_language_id": op9_language_id,
     "op10_minhash": op10_minhash,
 }
 
