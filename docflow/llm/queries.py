@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docflow.llm import itq, langid, linededup, minhash, quality
+from docflow.llm import itq, langid, linededup, minhash, quality, secrets
 from docflow.llm.folds import held_out
 
 
@@ -26,6 +26,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -44,6 +48,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op4_line_dedup": op4_line_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_language_id": op9_language_id,
     "op10_minhash": op10_minhash,
@@ -68,6 +73,46 @@ SELECT k.doc_id, count(*) AS n_lines,
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE o.key IS NULL OR o.keeper = k.doc_id), '')) AS kept_sha256
 FROM keyed k LEFT JOIN often o ON o.key = k.key
 GROUP BY k.doc_id
+""",
+    "op5_secret_scan": r"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+kinds(rank, kind, pattern) AS (VALUES
+    (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+    (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'), (3, 'entropy', '[A-Za-z0-9+/_=-]{20,}')),
+likely AS (SELECT * FROM texts, kinds WHERE regexp_matches(t, pattern)),
+cut AS (
+    SELECT doc_id, rank, kind, regexp_extract_all(t, pattern) AS found, regexp_split_to_array(t, pattern) AS gaps FROM likely
+), each AS (
+    SELECT doc_id, rank, kind, unnest(found) AS value, unnest(gaps[:len(found)]) AS gap, generate_subscripts(found, 1) AS i FROM cut
+), placed AS (
+    SELECT doc_id, rank, kind, value, sum(length(gap) + length(value)) OVER (PARTITION BY doc_id, rank ORDER BY i)::BIGINT AS stop FROM each
+), runs AS (
+    SELECT *, row_number() OVER () AS run FROM placed
+    WHERE kind = 'entropy'
+      AND NOT regexp_matches(value, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
+      AND lower(value) NOT IN ('d41d8cd98f00b204e9800998ecf8427e', 'da39a3ee5e6b4b0d3255bfef95601890afd80709', 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855')
+      AND NOT regexp_matches(lower(value), '(example|placeholder|changeme|your[_-]?(api[_-]?)?key|xxxxx|abcdefghij|0123456789)')
+      AND NOT regexp_matches(value, '^([A-Za-z]+|[0-9]+)([+/_=-]+([A-Za-z]+|[0-9]+))*[+/_=-]*$')
+), windows AS (SELECT run, value, unnest(range(1, length(value) - 18)) AS pos FROM runs),
+letters AS (SELECT run, value, pos, unnest(str_split(substr(value, pos, 20), '')) AS c FROM windows),
+counted AS (SELECT run, value, pos, c, count(*) AS n FROM letters GROUP BY ALL),
+measured AS (
+    SELECT run, any_value(value) AS value, 86438562 - sum(round(n * log2(n) * 1e6)::BIGINT) AS entropy FROM counted GROUP BY run, pos
+), high AS (
+    SELECT DISTINCT run FROM measured WHERE entropy >= CASE WHEN regexp_matches(value, '^[0-9a-fA-F]+$') THEN 60000000 ELSE 74000000 END
+), spans AS (
+    SELECT doc_id, rank, kind, stop - length(value) AS start, stop FROM placed
+    WHERE (kind = 'assign' AND length(regexp_extract(value, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12)
+       OR (kind = 'access' AND length(value) >= 18) OR (kind = 'hex' AND length(value) >= 16)
+    UNION ALL
+    SELECT doc_id, rank, kind, stop - length(value), stop FROM runs JOIN high USING (run)
+)
+SELECT t.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+       count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) FILTER (WHERE rank < 3), '')) AS base_sha256,
+       coalesce(string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) FILTER (WHERE kind IS NOT NULL), '') AS spans
+FROM texts t LEFT JOIN spans s ON s.doc_id = t.doc_id
+GROUP BY t.doc_id
 """,
     "op10_minhash": r"""
 WITH RECURSIVE words AS (
