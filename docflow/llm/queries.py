@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docflow.llm import itq, langid, linededup, minhash, quality, secrets
+from docflow.llm import decontaminate, itq, langid, linededup, minhash, quality, secrets
 from docflow.llm.folds import held_out
 
 
@@ -21,6 +21,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_digest(_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
     return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -47,6 +51,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op8_embedding_dedup": op8_embedding_dedup,
