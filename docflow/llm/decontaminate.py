@@ -6,7 +6,9 @@ multisets of shingles, a shingle weighing as often as it occurs.
 
 Which windows: at similarity s, a window shares at least s / (1 + s) of the shingles of both, and of all windows of one size the best can be moved
 right to begin at a shared shingle (or to end with the document). So the windows that begin at a shared shingle, with enough
-shared shingles inside, hold a best window of every document and item; no other needs a fingerprint. Each of these gets a
+shared shingles inside, hold a best window of every document and item; no other needs a fingerprint. Documents are first
+searched for every g-th shingle only: a similar window lacks fewer shingles than it has among these, if g suits the items'
+lengths (at 0.8, g is 5 for items of 9 words or more). Each of these gets a
 64-bit SimHash; ``radius`` + 1 blocks of its bits are the keys of the join with the items' blocks, so that every fingerprint within the
 radius meets its item; the exact similarity decides.
 
@@ -21,17 +23,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docflow.llm.workspace import Workspace
+
 BITS = 64
 
 
-def shingles(text: Column, k: int) -> Column:
-    """array<bigint>: hashes of the k-word shingles in order; of all words together if there are fewer; null without words."""
+def shingles(text: Column, k: int, stride: int = 1) -> Column:
+    """array<bigint>: hashes of every ``stride``-th k-word shingle in order; of all words together if there are fewer than
+    k; null without words."""
     clean = F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
     one = F.array(F.split(clean, " "))  # one element, so that the words are split once and not for each shingle
     rolled = F.transform(
         one,
         lambda w: F.when(F.size(w) < k, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(
-            F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
+            F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0)), F.lit(stride)), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
         ),
     )[0]
     return F.when(clean != "", rolled)
@@ -63,6 +68,11 @@ def _common(window: Column, item: Column) -> Column:
     return F.aggregate(F.array_intersect(item, window), F.lit(0), lambda acc, x: acc + F.least(count(item, x), count(window, x)))
 
 
+def _needed(n: int, m: int, percent: int) -> int:
+    """Shingles that multisets of n and m must share to be so similar."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -83,9 +93,22 @@ def matches(
     items = items.withColumn("item_size", F.size("item_shingles"))
     wanted = items.select("item", "item_size", F.explode(F.array_distinct("item_shingles")).alias("shingle"))
 
+    sizes = [r["item_size"] for r in items.select("item_size").distinct().collect()]  # lengths, not items
+    whole = range(1, max(sizes, default=0) + 1)  # documents shorter than an item are one window
+    stride = max(
+        (g for g in range(1, k + 1) if all(n // g > n - _needed(n, n, int(percent)) for n in sizes) and all(-(-n // g) > n - _needed(n, n, int(percent)) for n in whole)),
+        default=1,
+    )
+
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     texts = texts.withColumn("row_hash", F.xxhash64("body", F.length("body")))
-    hashed = texts.select("id", "row_hash", shingles(F.col("body"), k).alias("shingles")).where("shingles is not null")
+    spread = texts.select("id", "row_hash", F.explode(shingles(F.col("body"), k, stride)).alias("shingle"))
+    near = spread.join(wanted.select("shingle").distinct(), "shingle").groupBy("id", "row_hash").agg(F.count(F.lit(1)).alias("hits"))
+    # the texts of these only: a table of ids that is measured to be small is broadcast, else both sides are shuffled
+    own = texts.select(F.col("id").alias("own"), F.col("row_hash").alias("own_hash"), "body")
+    met = near.join(own, F.col("id").eqNullSafe(F.col("own")) & (F.col("row_hash") == F.col("own_hash"))).select("id", "row_hash", "body").distinct()
+    hashed = Workspace(docs.sparkSession, "decontaminate").save(met.select("id", "row_hash", shingles(F.col("body"), k).alias("shingles")))
+
     placed = hashed.select("id", "row_hash", F.size("shingles").alias("doc_size"), F.posexplode("shingles").alias("at", "shingle"))
     seeds = placed.join(wanted, "shingle").groupBy("id", "row_hash", "item", "item_size", "doc_size").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
@@ -97,11 +120,9 @@ def matches(
     )
     seeds = seeds.withColumn("width", width).withColumn("need", need)
     windows = seeds.select("id", "row_hash", "item", "width", F.explode(F.array_distinct(starts)).alias("start"))
-    # back to the texts of these windows only: a small table of windows is broadcast if its measured size allows it
     grouped = windows.groupBy("id", "row_hash").agg(F.collect_list(F.struct("item", "width", "start")).alias("windows"))
-    again = texts.select(F.col("id").alias("own"), F.col("row_hash").alias("own_hash"), "body")
+    again = hashed.select(F.col("id").alias("own"), F.col("row_hash").alias("own_hash"), "shingles")
     found = grouped.join(again, F.col("id").eqNullSafe(F.col("own")) & (F.col("row_hash") == F.col("own_hash")))
-    found = found.select("id", "windows", shingles(F.col("body"), k).alias("shingles"))
     cut = F.transform("windows", lambda w: F.struct(w["item"].alias("item"), w["start"].alias("start"), F.slice(F.col("shingles"), w["start"] + 1, w["width"]).alias("window")))
     cut = found.select("id", F.explode(cut).alias("w")).select("id", "w.item", "w.start", "w.window").dropDuplicates(["id", "item", "start", "window"])
 
