@@ -6,8 +6,8 @@ templates leave in pages without telling names is found by comparison: pages of
 the page before and after it, lines are aligned by longest common subsequence, and shared lines go.
 
 Pages may be copies of each other, and then share their article too. So an alignment only counts if it covers less than
-half of either page's lines; inside an article element a line goes only if both neighbours share it, and its first
-heading never does.
+half of either page's lines. Articles may quote the same passage; so lines inside an article element (article, main, or
+their roles) never go, and pages that have one are only aligned as neighbours of those that have none.
 
 Hosts may be of any size: (host, path) is range-partitioned and sorted, only hashes of lines take part, and the pages at
 the ends of a partition come to their neighbours through a table of two rows for each partition.
@@ -60,7 +60,7 @@ _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textare
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
 
-ELSEWHERE, ARTICLE, HEADING = 0, 1, 2
+ELSEWHERE, ARTICLE = 0, 1
 
 
 def _named_chrome(attrs: dict[str, str]) -> bool:
@@ -80,14 +80,13 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
     lines: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, in chrome, in article
     buffer: list[str] = []
-    heading = False
 
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(buffer)).strip()
         buffer.clear()
         if text:
             inside = bool(stack) and stack[-1][2]
-            lines.append((text, HEADING if heading and inside else ARTICLE if inside else ELSEWHERE))
+            lines.append((text, ARTICLE if inside else ELSEWHERE))
 
     at = 0
     while at < len(source):
@@ -107,7 +106,6 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
             chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             if tag not in _INLINE:
                 flush()
-            heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") if tag not in _INLINE else heading
             if tag in _VOID:
                 if tag == "br":
                     buffer.append(" ")
@@ -132,7 +130,6 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
         else:
             if tag not in _INLINE:
                 flush()
-                heading = False
             if tag == "br":
                 buffer.append(" ")
             _close(stack, tag, frozenset())
@@ -186,7 +183,9 @@ def shared_lines(one: list[int], other: list[int]) -> set[int]:
 
 
 def dropped_lines(own: list[int], places: list[int], neighbours: list[list[int]]) -> list[int]:
-    """Positions of lines that neighbours share and that aren't the page's own."""
+    """Positions of lines that a neighbour shares, outside article elements."""
+    if ELSEWHERE not in places:
+        return []
     shared = []
     for other in neighbours:
         found = shared_lines(own, other)
@@ -194,9 +193,7 @@ def dropped_lines(own: list[int], places: list[int], neighbours: list[list[int]]
             shared.append(found)
     if not shared:
         return []
-    first = next((i for i, p in enumerate(places) if p == HEADING), -1)
-    any_of, all_of = set().union(*shared), set.intersection(*shared) if len(shared) == 2 else set()
-    return sorted(i for i in any_of if i != first and (places[i] == ELSEWHERE or i in all_of))
+    return sorted(i for i in set().union(*shared) if places[i] == ELSEWHERE)
 
 
 def _host_path(url: str | None) -> tuple[str, str]:
