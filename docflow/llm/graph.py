@@ -2,11 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from docflow.llm.workspace import Workspace
 
 
+def spanning_edges(close: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
+    """Edges that connect what the links ``close`` of two blocks of nodes connect: a spanning forest, not all links.
+
+    ``same``: both blocks are one."""
+    names = left if same else np.concatenate([left, right])
+    offset = 0 if same else len(left)
+    seen = np.zeros(len(names), dtype=bool)
+    for start in range(len(left)):
+        if seen[start]:
+            continue
+        seen[start] = True
+        queue = [start]
+        while queue:
+            at = queue.pop()
+            if same or at < len(left):
+                near = np.flatnonzero(close[at]) + offset
+            else:
+                near = np.flatnonzero(close[:, at - len(left)])
+            near = near[~seen[near]]
+            seen[near] = True
+            for x in near.tolist():
+                yield int(names[at]), int(names[x])
+                queue.append(x)
+
+
 def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     """``edges`` (a, b) -> (node, component): component is the smallest node that can be reached.
 

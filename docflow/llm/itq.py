@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docflow.llm.graph import connected_components
+from docflow.llm.graph import connected_components, spanning_edges
 from docflow.llm.workspace import Workspace
 
 
@@ -107,7 +107,7 @@ def _comparer(model: Quantiser, least: float):
             back = close.T @ weight[left]
             other = np.flatnonzero(back)
             yield from zip(node[right[other]].tolist(), [None] * len(other), back[other].tolist(), strict=True)
-        yield from _local_edges(close, node[left], node[right], a == b)
+        yield from ((x, y, None) for x, y in spanning_edges(close, node[left], node[right], a == b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out = None, []
@@ -146,29 +146,6 @@ def _comparer(model: Quantiser, least: float):
     return run
 
 
-def _local_edges(close: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple]:
-    """Edges that connect what the links of two blocks connect: a spanning forest, not all links."""
-    names = left if same else np.concatenate([left, right])
-    offset = 0 if same else len(left)
-    seen = np.zeros(len(names), dtype=bool)
-    for start in range(len(left)):
-        if seen[start]:
-            continue
-        seen[start] = True
-        queue = [start]
-        while queue:
-            at = queue.pop()
-            if same or at < len(left):
-                near = np.flatnonzero(close[at]) + offset
-            else:
-                near = np.flatnonzero(close[:, at - len(left)])
-            near = near[~seen[near]]
-            seen[near] = True
-            for x in near.tolist():
-                yield int(names[at]), int(names[x]), None
-                queue.append(x)
-
-
 def near_duplicate_vectors(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, tables: int = 32, sample_rows: int = 10_000, block_rows: int = 256
 ) -> DataFrame:

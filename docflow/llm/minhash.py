@@ -6,8 +6,9 @@ coordinate k is the minimum of pi over the scattered shingles shifted by k place
 
 Rows with equal shingle sets are one class and count as one candidate. Classes that share a band are compared in rounds:
 with the smallest class of their bands, with another member of each band that still holds several components, and last
-with every member of another component in these bands. A pair that shares a band is thus compared, or already
-connected; neither the size of a band nor the number of its pairs is capped. At the default 45 bands of 6, a pair of similarity
+with every member of another component in these bands: pair by pair in bands of up to PAIRED members, and in larger ones by
+products of shingle matrices over blocks of members, which emit one link for each component they join and no pairs. A pair that shares a band is
+thus compared, or already connected; neither the size of a band nor the number of its pairs is capped. At the default 45 bands of 6, a pair of similarity
 0.8 shares no band with a probability of 1e-6.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; a row without id can't stand for a
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docflow.llm.graph import connected_components
+from docflow.llm.graph import connected_components, spanning_edges
 from docflow.llm.words import mix64, shingle_sets, word_chunks
 from docflow.llm.workspace import Workspace
 
@@ -31,6 +32,9 @@ _SET_SEED = np.uint64(0xD6E8FEB86659FD93)
 _SIGMA = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
 _PI = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 _BLOCK = 512
+#: Bands of more open members are compared in blocks of BLOCK_ROWS texts.
+PAIRED, BLOCK_ROWS = 24, 128
+_COLUMNS = 4096
 
 
 def _permute(x: np.ndarray, factors: tuple[np.uint32, np.uint32], spare: np.ndarray) -> np.ndarray:
@@ -106,6 +110,58 @@ def jaccard_batches(words: int):
     return run
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    flat = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, number, often = np.unique(flat, return_inverse=True, return_counts=True)
+    several = often[number] > 1
+    number, owner = np.unique(number[several], return_inverse=True)[1], owner[several]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    out = np.zeros((len(left), len(right)))
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, _COLUMNS):
+        a, b = np.searchsorted(number, [lo, lo + _COLUMNS])
+        held = np.zeros((len(left) + len(right), _COLUMNS), dtype=np.float32)
+        held[owner[a:b], number[a:b] - lo] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def block_batches(words: int, percent: int):
+    """A ``mapInArrow`` function over rows sorted by their first three: (cluster, block_a, block_b, block, id, label, text)
+    -> (a, b), links that connect all components which similar texts of the two blocks connect."""
+
+    def linked(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        _, one, two = rows[0][:3]
+        sets = [own for chunk in word_chunks(pa.array([r[6] for r in rows], pa.string())) for own in shingle_sets(chunk, words)]
+        block, label = np.array([r[3] for r in rows]), np.array([r[5] for r in rows])
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        if not len(left) or not len(right):
+            return
+        common = common_counts([sets[i] for i in left], [sets[i] for i in right])
+        size = np.array([len(x) for x in sets])
+        close = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+        close &= label[left][:, None] != label[right][None, :]
+        ids = np.array([r[4] for r in rows])
+        yield from spanning_edges(close, ids[left], ids[right], one == two)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    found += linked(held)
+                    held = []
+                held.append(row)
+        if held:
+            found += linked(held)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 45, rows: int = 6
 ) -> DataFrame:
@@ -161,15 +217,39 @@ def _links(source: DataFrame, members: DataFrame, work: Workspace, words: int, p
             break
         pairs = rest.select(F.col("id").alias("a"), "b", "n", "m", "label", "other")
         if full:
-            left, right = rest.select("key", F.col("id").alias("a"), "n", "label"), rest.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+            sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("open_size"))
+            rest = work.save(rest.drop("size").join(sizes, "key"))
+            few = rest.where(F.col("open_size") <= PAIRED)
+            left, right = few.select("key", F.col("id").alias("a"), "n", "label"), few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
             pairs = left.join(right, "key")
         pairs = pairs.where("label <> other").where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         fresh = verified(pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
         tried = tried.unionByName(fresh)
         links = tried.where("linked").select("a", "b")
+        if full:
+            many = rest.where(F.col("open_size") > PAIRED).select("id", "b", "label")
+            links = links.union(_block_links(many, texts, work, words, percent))
     return links
 
 
+def _block_links(many: DataFrame, texts: DataFrame, work: Workspace, words: int, percent: int) -> DataFrame:
+    """``many`` (id, b, label): members of large bands, each with one other member of its band. All members that bands
+    connect are one cluster, dealt out as pairs of blocks."""
+    many = work.save(many)
+    if many.isEmpty():
+        return many.select(F.col("id").alias("a"), "b").limit(0)
+    cluster = connected_components(many.select(F.col("id").alias("a"), "b"), work)
+    named = many.select("id", "label").distinct().join(cluster.withColumnRenamed("node", "id"), "id").withColumnRenamed("component", "cluster")
+    sizes = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    parts = named.join(sizes, "cluster").withColumn("parts", F.expr(f"int(ceil(size / {BLOCK_ROWS}))"))
+    parts = parts.withColumn("block", F.expr("int(pmod(xxhash64(id), parts))")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = parts.select("cluster", F.least("block", "with").alias("block_a"), F.greatest("block", "with").alias("block_b"), "block", "id", "label")
+    dealt = dealt.join(texts, "id").select("cluster", "block_a", "block_b", "block", "id", "label", "text")
+    count = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(count, "cluster", "block_a", "block_b").sortWithinPartitions("cluster", "block_a", "block_b")
+    return work.save(dealt.mapInArrow(block_batches(words, percent), "a long, b long"))
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; all columns stay. Of an id on several rows, all
     of its rows stay, and so do rows without id that nothing else represents."""
