@@ -151,8 +151,8 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options)
-    key = docs[id_col].cast("long").eqNullSafe(maps["row_id"]) & (_row_hash(F.coalesce(docs[text_col], F.lit(""))) == maps["row_hash"])
+    maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options).toDF("__row_id", "__row_hash", "__keep")
+    key = docs[id_col].cast("long").eqNullSafe(maps["__row_id"]) & (_row_hash(F.coalesce(docs[text_col], F.lit(""))) == maps["__row_hash"])
     return docs.join(maps.hint("shuffle_hash"), key, "left")
 
 
@@ -176,13 +176,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row of ``docs``: id, n_lines, n_dropped, kept_sha256 and the bitmap ``keep`` (null: nothing goes)."""
     joined = _with_bitmaps(docs.select(id_col, text_col), id_col, text_col, **options)
-    digest = joined.select(F.col(id_col).cast("long").alias("id"), text_col, "keep").mapInArrow(_digest, "id long, n_lines long, n_dropped long, kept_sha256 string, keep binary")
+    digest = joined.select(F.col(id_col).cast("long").alias("id"), text_col, "__keep").mapInArrow(_digest, "id long, n_lines long, n_dropped long, kept_sha256 string, keep binary")
     return digest.withColumnRenamed("id", id_col)
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with its columns, texts without the lines that go. A null text without lines to lose stays null."""
-    joined = _with_bitmaps(docs, id_col, text_col, **options).select(*docs.columns, F.col("keep").alias("__keep"))
+    joined = _with_bitmaps(docs, id_col, text_col, **options).select(*docs.columns, "__keep")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
