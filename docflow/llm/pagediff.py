@@ -301,9 +301,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     ordered = work.checkpoint(slim.repartitionByRange(count, *keys).sortWithinPartitions(*keys))
     edges = [tuple(r) for r in ordered.mapInArrow(_ends, ordered.schema).toLocalIterator()]  # two rows a partition
     edges = sorted(((_sort_key(e), e) for e in edges), key=lambda x: x[0])
-    drops = ordered.mapInArrow(_differ(edges), "id long, row long, drop array<int>").dropDuplicates(["id", "row"])
+    drops = work.save(ordered.mapInArrow(_differ(edges), "id long, row long, drop array<int>").dropDuplicates(["id", "row"]))
 
-    kept = parsed.join(drops.withColumnRenamed("row", "drop_row"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("drop_row")), "left")
+    # only pages with lines outside articles can lose any; the saved table of losses has a known size, by which Spark
+    # broadcasts it or shuffles both sides
+    whole = ~F.array_contains("places", ELSEWHERE)
+    kept = parsed.where(~whole).join(drops.withColumnRenamed("row", "drop_row"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("drop_row")), "left")
+    kept = kept.select(*parsed.columns, "drop").union(parsed.where(whole).withColumn("drop", F.lit(None).cast("array<int>")))
     remaining = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains(F.col("drop"), i)))
     out = kept.select("page_id", "url", F.array_join(remaining, "\n").alias("text"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"))
     out = out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.greatest("n_dropped", F.lit(0)).alias("n_dropped"))
