@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow import rules
 from docflow.functions import html_signals as H, text as T, urls as U
-from docflow.operators import dedup, frontier, quality, render, sections
+from docflow.operators import dedup, frontier, html_record, parsers, quality, render, sections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -351,6 +351,84 @@ def playbook_skip(events):
     return quality.skipped_strategies(history)
 
 
+@query("merge_seeds_dedup", "pages", """
+WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY s, page_id) AS i, s * 1000000 + page_id AS o, CASE WHEN page_id % 3 = 0 THEN 'c' || (page_id % 40) ELSE '' END AS k1, 'u' || (page_id % 100) AS k2
+                     FROM pages, (VALUES (0), (1)) v(s)),
+fold AS (
+    SELECT 0::BIGINT AS i, NULL::BIGINT AS o, []::VARCHAR[] AS s1, []::VARCHAR[] AS s2, NULL::VARCHAR AS decision
+    UNION ALL
+    SELECT r.i, r.o, CASE WHEN k1 = '' OR list_contains(s1, k1) OR list_contains(s2, k2) THEN s1 ELSE list_append(s1, k1) END,
+           CASE WHEN list_contains(s1, k1) OR list_contains(s2, k2) THEN s2 ELSE list_append(s2, k2) END,
+           CASE WHEN k1 <> '' AND list_contains(s1, k1) THEN 'canonical_url' WHEN list_contains(s2, k2) THEN 'url' ELSE 'accepted' END
+    FROM fold JOIN r ON r.i = fold.i + 1
+)
+SELECT o, decision FROM fold WHERE i > 0""")
+def merge_seeds_dedup(pages):
+    seeds = pages.select("page_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("seed"))
+    canonical = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("c"), (F.col("page_id") % 40).cast("string"))).otherwise("")
+    rows = seeds.select((F.col("seed") * 1000000 + F.col("page_id")).alias("o"), canonical.alias("canonical_url"), F.concat(F.lit("u"), (F.col("page_id") % 100).cast("string")).alias("url"))
+    return dedup.first_of_two_keys(rows, "o", "canonical_url", "url").select("o", "decision")
+
+
+_LLMS = "'Intro [one](/a) and [two](#b) ' || text || ' [three](https://x.y/z)'"
+
+
+_MD_LINK = r"'\[([^\]]*)\]\(([^)\s]+)\)'"
+
+
+@query("llms_shape", "documents", f"""
+WITH d AS (SELECT doc_id, {_LLMS} AS t FROM documents)
+SELECT doc_id, {_WORDS.format("regexp_replace(t, " + _MD_LINK + ", ' ', 'g')")} AS words,
+       len(list_filter(regexp_extract_all(t, {_MD_LINK}, 2), lambda u: NOT starts_with(u, '#'))) AS links FROM d""")
+def llms_shape(docs):
+    words, links = parsers.llms_shape(F.concat(F.lit("Intro [one](/a) and [two](#b) "), "text", F.lit(" [three](https://x.y/z)")))
+    return docs.select("doc_id", words.alias("words"), F.size(links).alias("links"))
+
+
+@query("llms_bundle_pages", "documents", "SELECT doc_id, pos, '/p' || pos AS path, 'T' || doc_id AS title, 'https://h/' || doc_id AS url, trim(text, ' ' || chr(10)) AS body FROM documents, (VALUES (0), (1)) v(pos)")
+def llms_bundle_pages(docs):
+    ident = F.col("doc_id").cast("string")
+    page = lambda n: F.concat(F.lit(f'<page path="/p{n}" title="T'), ident, F.lit('"><![CDATA[URL: https://h/'), ident, F.lit("\n\n"), "text", F.lit("]]></page>\n"))
+    bundles = docs.select("doc_id", F.concat(page(0), page(1)).alias("content"))
+    return parsers.bundle_pages(bundles, "doc_id", "content").drop("description")
+
+
+@query("openapi_operations", "pages", """
+SELECT page_id, o AS order_index, t || CASE WHEN t LIKE 'GET%' THEN ' — List ' || page_id ELSE '' END AS title, a AS anchor
+FROM pages, (VALUES (0, 'GET /z', 'get-z'), (0, 'POST /z', 'post-z'), (1, 'DELETE /a/{id}', 'delete-a-id')) v(o, t, a)""")
+def openapi_operations(pages):
+    body = F.concat(F.lit('{"info":{"title":"x"},"paths":{"/z":{"post":{},"get":{"summary":"List '), F.col("page_id").cast("string"), F.lit('","tags":["t"]}},"/a/{id}":{"delete":{"description":"d"}}}}'))
+    return parsers.api_operations(pages.select("page_id", body.alias("body")), "page_id", "body").select("page_id", "order_index", "title", "anchor")
+
+
+@query("pdf_density", "conversations", """
+WITH m AS (SELECT conv_id, avg(length(text)) AS c, avg(turn % 3) AS i, avg(turn % 2) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, c < 50 AS scanned, CASE WHEN c >= 800 AND i < 1 THEN 'light' WHEN c >= 200 OR t >= 0.3 THEN 'medium' ELSE 'dense' END AS density FROM m""")
+def pdf_density(messages):
+    return parsers.pdf_density(messages.select("conv_id", F.length("text").alias("chars"), (F.col("turn") % 3).alias("images"), (F.col("turn") % 2).alias("tables")), "conv_id")
+
+
+@query("html_extract", "pages", f"""
+WITH {_EDGES}, l AS (SELECT src, count(DISTINCT url) AS n_links FROM edges GROUP BY src)
+SELECT p.url, {_PLAIN.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, coalesce(n_links, 0)::INT AS n_links FROM pages p LEFT JOIN l ON l.src = p.url""")
+def html_extract(pages):
+    return html_record.extract(pages).select("url", "title", F.size("links").alias("n_links"))
+
+
+@query("render_chunks", "pages", """
+WITH c AS (SELECT page_id, (row_number() OVER (ORDER BY page_id) - 1) // 50 AS chunk, chr(10) || '## P' || page_id || chr(10) AS s, count(*) OVER () AS n FROM pages),
+t AS (SELECT *, (n + 49) // 50 AS total FROM c)
+SELECT 'docs_part_' || lpad((chunk + 1)::VARCHAR, 3, '0') || '_of_' || lpad(total::VARCHAR, 3, '0') || '.md' AS name,
+       rtrim('# Docs (Part ' || (chunk + 1) || ' of ' || total || ')' || chr(10) || string_agg(s, chr(10) ORDER BY page_id), chr(10)) || chr(10) AS markdown
+FROM t WHERE total > 1 GROUP BY chunk, total
+UNION ALL SELECT 'docs.md', rtrim('# Docs' || chr(10) || string_agg(s, chr(10) ORDER BY page_id), chr(10)) || chr(10) FROM t WHERE total = 1 GROUP BY total""")
+def render_chunks(pages):
+    from docflow.sources import markdown
+
+    rows = pages.select("page_id", F.concat(F.lit("\n## P"), F.col("page_id").cast("string"), F.lit("\n")).alias("section"))
+    return markdown.chunk_documents(rows, arrival="page_id", order=["page_id"], section="section", title="Docs", prefix="docs")
+
+
 def quality_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts stand for a judge: a source passes if at least half of its judged texts are clean."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")

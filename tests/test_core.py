@@ -73,3 +73,32 @@ def test_table_and_code_rendering(spark):
     )
     text = frame.select(render.record_section(F.lit("u"), F.lit(None), F.lit("T"), F.array().cast("array<string>"), F.col("b"), F.col("c"), F.array().cast("array<string>")).alias("s")).first().s
     assert "| a | b |\n| --- | --- |\n| 1 | 2 |" in text and "```py\nx\n```" in text and text.count("```") == 2
+
+
+def test_page_record(spark):
+    from docflow.operators.html_record import extract, page_record
+
+    html = (
+        "<title>T</title><link rel=canonical href='/c'><nav class=breadcrumb>Home / Docs</nav><main><h1>Head</h1><p>One <b>two</b><p>Three"
+        "<ul><li>a<li>b</ul><table><tr><th>x<th>y<tr><td>1<td>2</table><pre><code class='language-py'>x = 1\n</code></pre><a href='p?q'>next</a></main><footer><p>f</p></footer>"
+    )
+    got = page_record(html + "<p>outside</p>", "https://h/d/e")
+    kinds = [b["type"] for b in got["content_blocks"]]
+    assert got["title"] == "Head" and got["canonical_url"] == "https://h/c" and got["links"] == ["https://h/d/p?q"] and got["breadcrumbs"] == ["Home", "Docs"]
+    assert kinds[:6] == ["heading", "paragraph", "paragraph", "list", "table", "code"]
+    assert got["content_blocks"][3]["items"] == ["a", "b"] and got["content_blocks"][4]["rows"] == [["x", "y"], ["1", "2"]]
+    assert got["code_blocks"] == [{"language": "py", "text": "x = 1"}]
+    frame = spark.createDataFrame([("https://h/", None), (None, "<div class=content><a href=a>A</a></div>")], "url string, html string")
+    rows = extract(frame).collect()
+    assert rows[0].title == "https://h/" and [b.type for b in rows[1].content_blocks] == ["heading", "list"]
+
+
+def test_playbook(spark, tmp_path):
+    from docflow.sources import playbook
+
+    path = str(tmp_path / "p")
+    rows = [(1.0, "d", "script", "fw", True, None, 3, 0, None, "x" * 30000), (2.0, "d", "script", "fw", False, None, 0, 1, "F", "no")]
+    playbook.append(spark.createDataFrame(rows, playbook.SCHEMA), path)
+    (tmp_path / "p" / "bad.json").write_text("not json\n")
+    assert playbook.read(spark, path, "d").count() == 2 and playbook.read(spark, path, "e").count() == 0
+    assert len(playbook.cached_script(playbook.read(spark, path), "d", "fw").first().script) == 20000
