@@ -72,7 +72,7 @@ def parent_path(p: Column) -> Column:
 def sitemap_prefix(p: Column) -> Column:
     """Path prefix that a sitemap's pages must have, for a start path."""
     pieces = F.filter(F.split(F.lower(F.coalesce(p, F.lit(""))), "/"), lambda x: x != "")
-    folders = F.when(F.element_at(pieces, -1).contains("."), F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+    folders = F.when(F.try_element_at(pieces, F.lit(-1)).contains("."), F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
     at = F.array_position(folders, "docs").cast("int")
     after = F.get(folders, at)
     stop = (at > 0) & (after.isNull() | after.isin(*rules.PREFIX_STOPS))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docflow.functions import text as T
+from docflow.functions import text as T, urls as U
 
-LINK = r"\[([^\]]*)\]\(([^)\s]+)\)"
+LINK = r"\[([^\]]+)\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"
 BUNDLE = r"(?s)<page\b([^>]*)>\s*<!\[CDATA\[(.*?)\]\]>\s*</page>"
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
 
@@ -22,6 +22,23 @@ def is_full_text(words: Column, links: Column) -> Column:
     return (words > 300) & (links < F.floor(words / 10))
 
 
+def richer_sources(sources: DataFrame) -> DataFrame:
+    """``sources`` (url, content), fetched llms files -> (url, full_url): for each file the first linked one on its host that is called full,
+    isn't itself, and has more words than it and than 300."""
+    host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    plain = lambda u: F.regexp_replace(F.regexp_replace(u, "#.*$", ""), "/+$", "")
+    measured = sources.select("url", "content", llms_shape(F.col("content"))[0].alias("words"))
+    labels, hrefs = (F.regexp_extract_all("content", F.lit(LINK), F.lit(n)) for n in (1, 2))
+    links = measured.select("url", "words", F.posexplode(F.arrays_zip(labels.alias("label"), hrefs.alias("href"))).alias("pos", "l"))
+    links = links.select("url", "words", "pos", F.lower("l.label").alias("label"), U.resolve(F.col("url"), F.col("l.href")).alias("to"))
+    path = F.lower(U.path(F.col("to")))
+    named = path.endswith("llms-full.txt") | (F.col("label").contains("full") & path.endswith("llms.txt"))
+    links = links.where(F.col("to").rlike(U.HTTP) & (host(F.col("to")) == host(F.col("url"))) & (plain(F.col("to")) != plain(F.col("url"))) & named)
+    others = measured.where("content <> ''").select(F.col("url").alias("to"), F.col("words").alias("other_words"))
+    found = links.withColumn("to", F.regexp_replace("to", "#.*$", "")).join(others, "to").where(F.col("other_words") > F.greatest("words", F.lit(300)))
+    return found.groupBy("url").agg(F.min_by("to", "pos").alias("full_url"))
+
+
 def bundle_pages(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, pos, path, title, url, description, body) of each page of a bundle; empty bodies are dropped."""
     attrs = F.regexp_extract_all(content, F.lit(BUNDLE), F.lit(1))
@@ -34,16 +51,23 @@ def bundle_pages(rows: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def api_operations(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, order_index, title, anchor, description, tags) of each operation of an API specification in JSON. Paths keep the order
-    of the document; methods come in a fixed order; text that isn't JSON gives no rows."""
-    spec = F.from_json(body, "struct<paths: map<string, map<string, string>>>")
+    """(key, order_index, title, anchor, description, tags, parameters, responses) of each operation of an API specification in JSON. Paths
+    keep the order of the document; methods come in a fixed order; text that isn't JSON gives no rows. Parameters and responses are lines."""
+    spec = F.from_json(body, "struct<paths: map<string, string>>")
     paths = rows.select(key, F.posexplode(F.map_entries(spec["paths"])).alias("order_index", "p"))
-    ranked = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(m).alias("method"), F.col("p.value")[m].alias("op")) for i, m in enumerate(METHODS)))
+    paths = paths.withColumn("item", F.from_json("p.value", "map<string, string>")).where("item is not null")  # a path that isn't an object has none
+    ranked = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(m).alias("method"), F.col("item")[m].alias("op")) for i, m in enumerate(METHODS)))
     each = paths.select(key, "order_index", F.col("p.key").alias("path"), F.explode(F.filter(ranked, lambda x: x["op"].isNotNull())).alias("o"))
-    op = F.from_json("o.op", "struct<summary: string, description: string, tags: array<string>>")
+    op = F.from_json("o.op", "struct<summary: string, description: string, tags: array<string>, parameters: array<string>, responses: map<string, string>>")
     title = F.concat(F.upper("o.method"), F.lit(" "), "path", F.when(F.coalesce(op["summary"], F.lit("")) != "", F.concat(F.lit(" — "), op["summary"])).otherwise(""))
     anchor = F.btrim(F.regexp_replace(F.lower(F.concat_ws("-", "o.method", "path")), "[^a-z0-9]+", "-"), F.lit("-"))
-    return each.select(key, "order_index", title.alias("title"), anchor.alias("anchor"), F.coalesce(op["description"], F.lit("")).alias("description"), F.coalesce(op["tags"], F.array().cast("array<string>")).alias("tags"))
+    none, field = F.array().cast("array<string>"), lambda s, name: F.coalesce(F.get_json_object(s, f"$.{name}"), F.lit(""))
+    needed = lambda p: F.when(field(p, "required") == "true", "required").otherwise("optional")
+    line = lambda p: F.btrim(F.concat(field(p, "name"), F.lit(" ("), field(p, "in"), F.lit(", "), needed(p), F.lit("): "), field(p, "description")), F.lit(": "))
+    parameters = F.transform(F.filter(op["parameters"], lambda p: field(p, "name") != ""), line)
+    answers = F.filter(F.map_entries(op["responses"]), lambda r: F.btrim(r["value"]).startswith("{"))
+    responses = F.transform(answers, lambda r: F.concat(r["key"], F.lit(": "), field(r["value"], "description")))
+    return each.select(key, "order_index", title.alias("title"), anchor.alias("anchor"), F.coalesce(op["description"], F.lit("")).alias("description"), F.coalesce(op["tags"], none).alias("tags"), F.coalesce(parameters, none).alias("parameters"), F.coalesce(responses, none).alias("responses"))
 
 
 def font_heading_level(size: Column, body: Column) -> Column:

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docflow import rules
+from docflow import rules, schema
 from docflow.functions import html_signals as H, text as T, urls as U
-from docflow.operators import dedup, frontier, html_record, parsers, quality, render, sections
+from docflow.operators import adaptive, cleaning, dedup, frontier, html_record, markdown_doc, parsers, pdf, quality, render, sections, seeds
+from docflow.plans import crawl
+from docflow.sources import probe, sitemap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -370,10 +372,10 @@ def merge_seeds_dedup(pages):
     return dedup.first_of_two_keys(rows, "o", "canonical_url", "url").select("o", "decision")
 
 
-_LLMS = "'Intro [one](/a) and [two](#b) ' || text || ' [three](https://x.y/z)'"
+_LLMS = """'Intro [one](/a "t") and [two](#b) ' || text || ' [three](https://x.y/z)'"""
 
 
-_MD_LINK = r"'\[([^\]]*)\]\(([^)\s]+)\)'"
+_MD_LINK = r"""'\[([^\]]+)\]\(([^)\s]+)(?:\s+"[^"]*")?\)'"""
 
 
 @query("llms_shape", "documents", f"""
@@ -381,7 +383,7 @@ WITH d AS (SELECT doc_id, {_LLMS} AS t FROM documents)
 SELECT doc_id, {_WORDS.format("regexp_replace(t, " + _MD_LINK + ", ' ', 'g')")} AS words,
        len(list_filter(regexp_extract_all(t, {_MD_LINK}, 2), lambda u: NOT starts_with(u, '#'))) AS links FROM d""")
 def llms_shape(docs):
-    words, links = parsers.llms_shape(F.concat(F.lit("Intro [one](/a) and [two](#b) "), "text", F.lit(" [three](https://x.y/z)")))
+    words, links = parsers.llms_shape(F.concat(F.lit('Intro [one](/a "t") and [two](#b) '), "text", F.lit(" [three](https://x.y/z)")))
     return docs.select("doc_id", words.alias("words"), F.size(links).alias("links"))
 
 
@@ -429,6 +431,115 @@ def render_chunks(pages):
     return markdown.chunk_documents(rows, arrival="page_id", order=["page_id"], section="section", title="Docs", prefix="docs")
 
 
+_CLEAN_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[^\P{C}\n]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query("seed_guesses", "pages", f"""
+WITH s AS (SELECT page_id, lower(@part(1)) || '://' || lower(@part(2)) AS root, coalesce(nullif(@part(3), ''), '/') AS path FROM pages),
+f AS (SELECT page_id, root, unnest([path, rtrim(path, '/') || '/', regexp_replace(rtrim(path, '/'), '[^/]*$', '')]) AS p FROM s)
+SELECT DISTINCT page_id, root || coalesce(nullif(regexp_replace(p, '[^/]*$', ''), ''), '/') || x AS url FROM f, (SELECT unnest({list(rules.SEED_SUFFIXES)!r}) AS x)""")
+def seed_guesses(pages):
+    return pages.select("page_id", F.explode(seeds.guesses(F.col("url"))).alias("url"))
+
+
+@query("sitemap_expand", "pages", f"SELECT url AS target, url FROM pages WHERE NOT {_any_of(rules.ASSETS, 'lower(@part(3))', 'ends_with')}")
+def sitemap_expand(pages):
+    """Each page's site has an index, a broken file, and a file with the page and a page of another host."""
+    at = lambda name: F.concat(F.lit("https://maps.example/"), F.col("page_id").cast("string"), F.lit(name))
+    loc = lambda tag, url: F.concat(F.lit(f"<{tag}><loc>"), F.replace(url, F.lit("&"), F.lit("&amp;")), F.lit(f"</loc></{tag}>"))
+    index = F.concat(F.lit("<sitemapindex>"), loc("sitemap", at("/a.xml")), loc("sitemap", at("/b.xml")), F.lit("</sitemapindex>"))
+    urls = F.concat(F.lit("<urlset>"), loc("url", F.col("url")), loc("url", F.lit("https://else.example/")), F.lit("</urlset>"))
+    parts = F.array(*(F.struct(at(n).alias("url"), b.alias("body")) for n, b in (("/i.xml", index), ("/a.xml", urls), ("/b.xml", F.lit("<urlset>")))))
+    targets = pages.where("url is not null").select(F.regexp_replace("url", r"^([^:]+://[^/?#]*).*$", "$1/").alias("target"), at("/i.xml").alias("sitemap"), "url")
+    out = sitemap.expand(targets, pages.select(F.explode(parts).alias("f")).select("f.*"))
+    return out.select(F.col("url").alias("target"), "url")
+
+
+@query("probe_detect", "documents", """
+SELECT 'https://d' || doc_id AS base, CASE WHEN doc_id % 3 = 0 THEN 'llms_txt' WHEN doc_id % 2 = 0 THEN 'sitemap' ELSE 'openapi' END AS type,
+       'https://d' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '/llms.txt' WHEN doc_id % 2 = 0 THEN '/sitemap.xml' ELSE '/openapi.json' END AS url FROM documents""")
+def probe_detect(docs):
+    one = lambda key, kind, body: F.struct(F.lit(key).alias("key"), F.lit(kind).alias("content_type"), body.alias("body"))
+    answers = F.array(
+        one("openapi_1", "application/json", F.lit('{"openapi":"3"}')), one("sitemap_1", "text/xml", F.when(F.col("doc_id") % 2 == 0, "<urlset/>").otherwise("")),
+        one("llms_1", "text/plain", F.col("text")),
+    )
+    base = F.concat(F.lit("https://d"), F.col("doc_id").cast("string")).alias("base")
+    rows = docs.select("doc_id", base, F.explode(answers).alias("a")).select("base", "a.*", F.when((F.col("a.key") == "llms_1") & (F.col("doc_id") % 3 != 0), 404).otherwise(200).alias("status"))
+    return probe.detect(rows.withColumn("headers", F.lit(None).cast("map<string,string>"))).select("base", "type", "url")
+
+
+@query("markdown_extract", "documents", """
+SELECT 'https://h/d/' || doc_id || '.md' AS url, source AS title, 'heading list code table paragraph' AS kinds, doc_id || chr(10) AS code, 'https://h/x' || doc_id AS links FROM documents""")
+def markdown_extract(docs):
+    ident = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("# "), "source", F.lit("\n\n- a\n  - b\n- c\n\n```py\n"), ident, F.lit("\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nsee *the* [page](/x"), ident, F.lit(")\n"))
+    out = markdown_doc.extract(docs.select(F.concat(F.lit("https://h/d/"), ident, F.lit(".md")).alias("url"), text.alias("text")))
+    return out.select("url", "title", F.array_join(F.transform("content_blocks", lambda b: b["type"]), " ").alias("kinds"), F.get("code_blocks", F.lit(0))["text"].alias("code"), F.array_join("links", " ").alias("links"))
+
+
+@query("feedback_reports", "events", """
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'RATE_LIMITED' WHEN 1 THEN 'ANTIBOT' END AS mode, CASE WHEN event_id % 3 < 2 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 100)) END AS confidence FROM events WHERE value IS NOT NULL""")
+def feedback_reports(events):
+    mode = F.when(F.col("event_id") % 3 == 0, " rate_limited").when(F.col("event_id") % 3 == 1, "ANTIBOT").otherwise("other")
+    text = F.to_json(F.struct(mode.alias("failure_mode"), (F.col("value") / 100).alias("confidence_score")))
+    return events.where("value is not null").select("event_id", adaptive.feedback_report(text).alias("r")).select("event_id", F.col("r.failure_mode").alias("mode"), F.col("r.confidence_score").alias("confidence"))
+
+
+@query("adaptive_correction", "events", """
+WITH s AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'framework' WHEN 1 THEN 'sitemap' WHEN 2 THEN 'openapi' END AS detection,
+       CASE event_id % 3 WHEN 0 THEN 'RATE_LIMITED' WHEN 1 THEN 'EMPTY_CONTENT' END AS mode, event_id % 5 < 2 AS sparse FROM events)
+SELECT event_id, CASE WHEN detection = 'framework' THEN 'script' WHEN detection = 'openapi' THEN 'done' ELSE 'crawl' END AS phase,
+       sparse OR (detection IS NULL AND coalesce(mode, '') <> 'RATE_LIMITED') AS include_sparse,
+       CASE WHEN detection IS NULL AND sparse AND coalesce(mode, '') <> 'RATE_LIMITED' THEN -1 ELSE 3 END AS max_depth,
+       CASE WHEN detection IS NULL AND mode = 'RATE_LIMITED' THEN 1 ELSE 4 END AS workers FROM s""")
+def adaptive_correction(events):
+    part = lambda n, *names: F.get(F.array(*(F.lit(x) for x in names)), (F.col("event_id") % n).cast("int"))
+    states = events.select(
+        "event_id", part(4, "framework", "sitemap", "openapi", None).alias("detection"), part(3, "RATE_LIMITED", "EMPTY_CONTENT", None).alias("failure_mode"),
+        (F.col("event_id") % 5 < 2).alias("include_sparse"), F.lit(3).alias("max_depth"), F.lit(4).alias("workers"),
+    )
+    return adaptive.corrected(states).select("event_id", "phase", "include_sparse", F.coalesce("max_depth", F.lit(-1)).alias("max_depth"), "workers")
+
+
+@query("clean_records", "documents", rf"""
+WITH c AS (SELECT doc_id, {_CLEAN_SQL} AS t FROM documents)
+SELECT doc_id, (t <> '')::INT + (t <> '' AND length(t) < 40)::INT AS n_blocks, t AS text FROM c""")
+def clean_records(docs):
+    paragraph = schema.block("paragraph", text=F.col("text"))
+    empty = F.array().cast(f"array<{schema.CODE}>")
+    rows = docs.select("doc_id", F.lit("t").alias("title"), F.array(paragraph, paragraph).alias("content_blocks"), empty.alias("code_blocks"), F.array().cast("array<string>").alias("errors"))
+    return cleaning.clean_records(rows).select("doc_id", F.size("content_blocks").alias("n_blocks"), F.coalesce(F.get("content_blocks", F.lit(0))["text"], F.lit("")).alias("text"))
+
+
+def _spans(messages):
+    """Two texts on each page, and between them a heading on even ones."""
+    size = lambda n, text, points: F.struct(F.lit(n).alias("block"), text.alias("text"), F.lit(points).alias("size"))
+    blocks = F.array(size(0, F.concat(F.lit("x"), F.coalesce("text", F.lit(""))), 12.0), size(1, F.when(F.col("turn") % 2 == 0, F.concat(F.lit("H"), F.col("turn").cast("string"))).otherwise(""), 26.0), size(2, F.lit("y"), 12.0))
+    rows = messages.select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page"), F.explode(blocks).alias("b")).select("doc", "page", "b.*")
+    return rows.select("*", F.lit(0).alias("line"), F.lit(0).alias("span"), F.lit("Arial").alias("font"), F.array(*(F.lit(0.0) for _ in range(4))).alias("box"))
+
+
+def _no_tables(messages):
+    return messages.select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page"), F.lit(0).alias("table"), F.array(F.array(F.lit(""))).alias("rows"), F.array(F.lit(0.0)).alias("box"))
+
+
+@query("pdf_sections", "conversations", """
+WITH h AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn % 2 = 0), n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM h)
+SELECT DISTINCT conv_id AS doc, 0 AS order_index, 'base' AS title FROM conversations UNION ALL SELECT conv_id, k::INT, 'H' || turn FROM n""")
+def pdf_sections(messages):
+    blocks = pdf.page_blocks(_spans(messages), _no_tables(messages))
+    docs = messages.select(F.col("conv_id").alias("doc")).distinct().select("doc", F.lit("u").alias("url"), F.lit("base").alias("title"), F.lit("medium").alias("density"))
+    links = docs.select("doc", F.lit("https://h/").alias("uri"))
+    return pdf.records(docs, blocks, links).select("doc", "order_index", "title")
+
+
+@query("crawl_records", "pages", None)
+def crawl_records(pages):
+    """Three levels of links from the start; links lead out of the table, so most records are pages not found."""
+    return crawl.collect_records(pages, START, max_depth=2).decisions.select("url", "depth", "decision", "failed")
+
+
 def quality_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts stand for a judge: a source passes if at least half of its judged texts are clean."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
