@@ -24,4 +24,5 @@ def chunk_documents(rows: DataFrame, *, arrival: str, order: list[str], section:
 
 def write(documents: DataFrame, path: str) -> None:
     """A folder for each document name, in any store that Spark writes to."""
-    documents.write.mode("overwrite").option("lineSep", "").partitionBy("name").text(path)
+    rows = documents.select("name", F.regexp_replace("markdown", r"\n\z", "").alias("markdown"))  # the writer ends each row with a newline
+    rows.write.mode("overwrite").option("lineSep", "\n").partitionBy("name").text(path)
