@@ -4,7 +4,11 @@ A rotation of the principal axes is learned that brings vectors close to the cor
 a sample bounded by ``sample_rows``; signs of the rotated, centred vectors are balanced binary codes. Several rotations
 give one long code, cut into blocks; each block is the key of one table, and vectors that agree in a block (all pairs
 within a Hamming distance below the number of blocks do) are reranked by the cosine of the original vectors in double
-precision. Block width follows the number of vectors, so that buckets of unrelated vectors stay small at every size.
+precision. Block width follows the number of vectors, so that buckets of unrelated vectors stay small at every size, and the number of
+tables follows the width: two vectors at an angle t agree in a bit with probability 1 - t / pi, and there are as many tables as a
+pair at exactly ``cosine`` needs to meet in one of them with probability RECALL. The learned codes are tried on made pairs of that
+cosine; if fewer meet (centring pulls the vectors of a narrow cloud apart), codes are of random rotations and not centred, and tables are added
+until they do.
 
 Equal vectors are one class with a count. A bucket is dealt out as blocks of ``block_rows`` vectors: each task compares
 two blocks with a matrix product and emits counts for each vector and one edge for each local component, never pairs. A
@@ -23,11 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from docflow.llm.graph import connected_components, spanning_edges
 from docflow.llm.workspace import Workspace
 
+#: Least probability that a pair at the wanted cosine is compared.
+RECALL = 0.995
+
 
 @dataclass(frozen=True)
 class Quantiser:
@@ -40,16 +47,56 @@ class Quantiser:
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         """Of each vector its block of each table, as integers (rows x tables)."""
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        bits = ((unit - self.centre) @ self.planes > 0).reshape(len(vectors), self.tables, self.block_bits)
-        return bits @ (np.int64(1) << np.arange(self.block_bits, dtype=np.int64))
+        out = np.empty((len(vectors), self.tables), dtype=np.int64)
+        for lo in range(0, len(vectors), 512):
+            part = vectors[lo : lo + 512]
+            unit = part / np.linalg.norm(part, axis=1, keepdims=True)
+            bits = ((unit - self.centre) @ self.planes > 0).reshape(len(part), self.tables, self.block_bits)
+            out[lo : lo + 512] = bits @ (np.int64(1) << np.arange(self.block_bits, dtype=np.int64))
+        return out
+
+
+def tables_for(cosine: float, block_bits: int, recall: float = RECALL) -> int:
+    """Tables in which a pair at ``cosine`` agrees in a block at least once with probability ``recall``, if bits are independent."""
+    met = (1 - math.acos(min(1.0, cosine)) / math.pi) ** block_bits
+    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log1p(-met))
 
 
-def learn(sample: np.ndarray, tables: int, block_bits: int, iterations: int = 25, seed: int = 11) -> Quantiser:
+def met_share(model: Quantiser, sample: np.ndarray, cosine: float, pairs: int = 2000, seed: int = 13) -> float:
+    """Share of made pairs at exactly ``cosine`` that agree in a block: the smaller of pairs that differ in a random direction
+    and pairs that differ in the direction of another vector of the sample."""
+    rng = np.random.default_rng(seed)
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    one = unit[rng.integers(len(unit), size=pairs)]
+    shares = []
+    for away in (rng.normal(size=one.shape), unit[rng.integers(len(unit), size=pairs)] - one):
+        away = away - (away * one).sum(axis=1, keepdims=True) * one
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        left, away = one[length[:, 0] > 1e-9], away[length[:, 0] > 1e-9] / length[length[:, 0] > 1e-9]
+        if len(left):
+            right = cosine * left + math.sqrt(max(0.0, 1 - cosine**2)) * away
+            shares.append(float((model.keys(left) == model.keys(right)).any(axis=1).mean()))
+    return min(shares, default=1.0)
+
+
+def fitted(sample: np.ndarray, block_bits: int, cosine: float, recall: float = RECALL) -> Quantiser:
+    """A model whose tables let pairs at ``cosine`` meet with probability ``recall``."""
+    tables = tables_for(cosine, block_bits, recall)
+    model = learn(sample, tables, block_bits)
+    if met_share(model, sample, cosine) >= recall - 0.005:
+        return model
+    while True:
+        model = learn(sample, tables, block_bits, iterations=0, centred=False)
+        if met_share(model, sample, cosine) >= recall - 0.005:
+            return model
+        tables = math.ceil(tables * 1.25)
+
+
+def learn(sample: np.ndarray, tables: int, block_bits: int, iterations: int = 25, seed: int = 11, centred: bool = True) -> Quantiser:
     """Rotations by iterative quantisation of ``sample`` (rows x dimensions, not zero)."""
     rng = np.random.default_rng(seed)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    centre = unit.mean(axis=0)
+    centre = unit.mean(axis=0) if centred else np.zeros(unit.shape[1])
     dims = unit.shape[1]
     _, axes = np.linalg.eigh(np.cov((unit - centre).T) + 1e-12 * np.eye(dims) if len(unit) > 1 else np.eye(dims))
     projected = (unit - centre) @ axes
@@ -96,10 +143,13 @@ def _comparer(model: Quantiser, least: float):
         if not close.any():
             return
         table = key >> model.block_bits
-        if table:
-            keys = model.keys(vectors)
-            for t in range(table):  # pairs that an earlier table has
-                close &= keys[left, t][:, None] != keys[right, t][None, :]
+        if table:  # not the pairs that an earlier table has
+            rows, columns = close.any(axis=1), close.any(axis=0)
+            mine, theirs = model.keys(vectors[left[rows]])[:, :table], model.keys(vectors[right[columns]])[:, :table]
+            open_pairs = close[np.ix_(rows, columns)]
+            for t in range(table):
+                open_pairs &= mine[:, t][:, None] != theirs[:, t][None, :]
+            close[np.ix_(rows, columns)] = open_pairs
         links = close @ weight[right]
         hit = np.flatnonzero(links)
         yield from zip(node[left[hit]].tolist(), [None] * len(hit), links[hit].tolist(), strict=True)
@@ -147,12 +197,13 @@ def _comparer(model: Quantiser, least: float):
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, tables: int = 32, sample_rows: int = 10_000, block_rows: int = 256
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block_bits: int | None = None, sample_rows: int = 10_000, block_rows: int = 256
 ) -> DataFrame:
-    """One row per row of ``vectors``: (id, n_links, component_id, kept)."""
+    """One row per row of ``vectors``: (id, n_links, component_id, kept). ``block_bits``: by the number of vectors, unless given."""
     spark = vectors.sparkSession
     work = Workspace(spark, "itq")
-    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
+    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
     usable = F.expr("size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
     usable = F.coalesce(F.col("v").isNotNull() & usable, F.lit(False))
     distinct = source.where(usable).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
@@ -163,20 +214,8 @@ def near_duplicate_vectors(
     sizes = classes.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").first()
     if sizes is None:
         return source.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    block_bits = min(56, max(8, math.ceil(math.log2(max(2, sizes.n)))))
     indexed = classes.where(F.size("v") == sizes.dims)
-    sample = indexed.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(sample_rows).toArrow()
-    model = learn(_matrix(sample.column("v").combine_chunks()), tables, block_bits)
-
-    keyed = work.save(indexed.select("node", "v").mapInArrow(_keyed(model), "node long, keys array<long>").select("node", F.explode("keys").alias("key")))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    parts = keyed.join(shared, "key").select("key", "node", F.expr(f"int(ceil(size / {int(block_rows)}))").alias("parts"))
-    parts = parts.withColumn("block", F.expr("int(pmod(xxhash64(node, key), parts))")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = parts.select("key", F.least("block", "with").alias("block_a"), F.greatest("block", "with").alias("block_b"), "block", "node")
-    dealt = dealt.join(indexed.select("node", "weight", "v"), "node").select("key", "block_a", "block_b", "block", "node", "weight", "v")
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(count, "key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b")
-    found = work.save(dealt.mapInArrow(_comparer(model, cosine), "node long, other long, links long"))
+    found = _found(indexed, sizes.n, work, cosine, block_bits, sample_rows, block_rows)
 
     component = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), work)
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
@@ -189,3 +228,20 @@ def near_duplicate_vectors(
     out = marked.join(labels, "v", "left")
     component_id = F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component_id.alias("component_id"), F.col("id").eqNullSafe(component_id).alias("kept"))
+
+
+def _found(indexed: DataFrame, n: int, work: Workspace, cosine: float, block_bits: int | None, sample_rows: int, block_rows: int) -> DataFrame:
+    """(node, other, links) of ``indexed`` (node, weight, v), n vectors of one length, as the comparer gives them."""
+    block_bits = block_bits or min(48, max(8, math.ceil(math.log2(max(2, n))) + 2))
+    sample = indexed.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(sample_rows).toArrow()
+    model = fitted(_matrix(sample.column("v").combine_chunks()), block_bits, cosine)
+
+    keyed = work.save(indexed.select("node", "v").mapInArrow(_keyed(model), "node long, keys array<long>").select("node", F.explode("keys").alias("key")))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    parts = keyed.join(shared, "key").select("key", "node", F.expr(f"int(ceil(size / {int(block_rows)}))").alias("parts"))
+    parts = parts.withColumn("block", F.expr("int(pmod(xxhash64(node, key), parts))")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = parts.select("key", F.least("block", "with").alias("block_a"), F.greatest("block", "with").alias("block_b"), "block", "node")
+    dealt = dealt.join(indexed.select("node", "weight", "v"), "node").select("key", "block_a", "block_b", "block", "node", "weight", "v")
+    count = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(count, "key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b")
+    return work.save(dealt.mapInArrow(_comparer(model, cosine), "node long, other long, links long"))

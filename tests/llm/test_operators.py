@@ -110,6 +110,31 @@ def test_vectors(spark):
     assert itq.near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [11, 20, 25])
+def test_vectors_near_the_bound_at_any_block_width(spark, bits):
+    rng = np.random.default_rng(bits)
+    one = rng.normal(size=(400, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    away = rng.normal(size=one.shape)
+    away -= (away * one).sum(axis=1, keepdims=True) * one
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9001, 0.92, size=(400, 1))
+    both = np.concatenate([one, cosine * one + np.sqrt(1 - cosine**2) * away])
+    exact = int((both @ both.T / np.linalg.norm(both, axis=1)[:, None] / np.linalg.norm(both, axis=1)[None, :] >= 0.9).sum()) - len(both)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    found = itq.near_duplicate_vectors(frame, block_bits=bits).agg({"n_links": "sum"}).first()[0]
+    assert exact == 800 and 0.98 * exact <= found <= exact
+
+
+def test_vectors_of_one_narrow_cloud(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.ones(16) * 4 + rng.normal(size=16)]) for i in range(12)] + [(20, [1.0, 0.0] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert [r.n_links for r in itq.near_duplicate_vectors(frame).orderBy("vec_id").collect()] == wanted.tolist()
+
+
 def test_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.fit(docs.where("doc_id % 2 = 0"))
