@@ -14,8 +14,8 @@ Equal vectors are one class with a count. A bucket is dealt out as blocks of ``b
 two blocks with a matrix product and emits counts for each vector and one edge for each local component, never pairs. A
 pair counts in the first table whose block it shares.
 
-Defined cases: null, empty, zero and non-finite vectors link with nothing; vectors of different lengths aren't compared (the
-commonest length is indexed by the model, others only find equal vectors). Each row is a vector of its own, also if ids
+Defined cases: null, empty, zero and non-finite vectors link with nothing; vectors of different lengths aren't compared (each
+length has a model and tables of its own). Each row is a vector of its own, also if ids
 repeat; the component is the smallest id reached; a row without id counts as a vector but can't name a component.
 """
 
@@ -211,11 +211,11 @@ def near_duplicate_vectors(
     distinct = distinct.withColumn("node", F.monotonically_increasing_id())
     classes = work.save(distinct)
 
-    sizes = classes.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").first()
-    if sizes is None:
-        return source.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    indexed = classes.where(F.size("v") == sizes.dims)
-    found = _found(indexed, sizes.n, work, cosine, block_bits, sample_rows, block_rows)
+    sizes = classes.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy("dims").collect()  # lengths, not vectors
+    found = spark.createDataFrame([], "node long, other long, links long")
+    for dims, n in sizes:
+        if n > 1:
+            found = found.unionByName(_found(classes.where(F.size("v") == dims), n, work, cosine, block_bits, sample_rows, block_rows))
 
     component = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), work)
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))

@@ -126,6 +126,16 @@ def test_vectors_near_the_bound_at_any_block_width(spark, bits):
     assert exact == 800 and 0.98 * exact <= found <= exact
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=32)) for i in range(60)] + [(100 + i, rng.normal(size=8)) for i in range(10)] + [(200, rng.normal(size=5))]
+    rows += [(300, rows[0][1] + 0.01), (301, rows[60][1] + 0.01), (302, rows[69][1] * 2)]
+    out = {r.vec_id: r for r in itq.near_duplicate_vectors(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")).collect()}
+    for n, copy in ((0, 300), (100, 301), (109, 302)):
+        assert out[copy].component_id == n and out[copy].n_links >= 1 and not out[copy].kept
+    assert out[200].n_links == 0 and out[200].kept
+
+
 def test_vectors_of_one_narrow_cloud(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.ones(16) * 4 + rng.normal(size=16)]) for i in range(12)] + [(20, [1.0, 0.0] * 8)]
