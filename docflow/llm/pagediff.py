@@ -37,12 +37,18 @@ _SILENT = frozenset("head script style noscript template iframe object embed svg
 #: Elements around the article.
 _CHROME = frozenset("nav footer aside menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-#: Words of class and id that name chrome.
+#: Elements that may be in a head; any other ends it.
+_IN_HEAD = frozenset("head title meta link base script style noscript template".split())
+#: Whole tokens of class and id that name chrome.
 _NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar submenu breadcrumb breadcrumbs header masthead topbar
     footer footnav copyright colophon sidebar sidenav rail widget widgets related recommended recirc cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup
-    signin login paywall comment comments commentlist discussion disqus respond replies reviews share sharing social toolbar pagination pager tags tagcloud toc skip search""".split()
+    signin login paywall comment comments commentlist discussion disqus respond replies reviews share sharing social toolbar pagination pager tags tagcloud toc skip search
+    site-header page-header main-header global-header site-footer page-footer main-footer global-footer site-nav main-nav top-nav nav-bar nav-menu main-menu side-bar left-sidebar right-sidebar sidebar-left sidebar-right
+    cookie-notice cookie-banner cookie-bar cookie-consent ad-banner ad-container ad-slot ad-unit share-buttons social-share social-links related-posts related-articles newsletter-signup comment-list comments-area search-form search-bar skip-link""".split()
 )
+#: Of these, the ones that never hold the main article, though they may hold articles of their own.
+_OTHERS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo related recommended recirc related-posts related-articles comment comments commentlist comment-list comments-area discussion disqus respond replies reviews".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
@@ -58,35 +64,41 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
 _SPACE = re.compile(r"\s+")
-_WORDS = re.compile(r"[a-z0-9]+")
 
-ELSEWHERE, ARTICLE = 0, 1
+ELSEWHERE, ARTICLE, _NAMED = 0, 1, 2
 
 
-def _named_chrome(attrs: dict[str, str]) -> bool:
+def _hidden(attrs: dict[str, str]) -> bool:
     if attrs.get("role", "").strip().lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
-    words = set()
-    for name in (attrs.get("class", ""), attrs.get("id", "")):
-        words.update(_WORDS.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", name).lower()))
-    return not _NAMES.isdisjoint(words)
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
+
+
+def _chrome_names(attrs: dict[str, str]) -> set[str]:
+    """The whole tokens of class and id that name chrome; camelCase and _ read as -."""
+    tokens = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    return _NAMES & set(re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", tokens).lower().replace("_", "-").split())
 
 
-def page_lines(source: str | None) -> list[tuple[str, int]]:
-    """(text, place) of each block outside chrome, in page order. If the page has an article or main element, only what is inside."""
+def page_lines(source: str | None, around: frozenset[int] = frozenset()) -> list[tuple[str, int]]:
+    """(text, place) of each block outside chrome, in page order. If the page has an article or main element, only what is inside.
+
+    Names are never held against an article, main or body element; if all articles of a page are in elements with such names, the names aren't
+    held against these elements either, unless they are those of adverts, comments or related pages. ``around``: where elements begin that are inside
+an article and hold another; a page in which they are found is read again with them."""
     source = source or ""
     lines: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in chrome, in article
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, in chrome, in article (or one in an element with a name of chrome), in such an element
     buffer: list[str] = []
+    within: list[tuple[int, int]] = []  # depth and place of the open named elements inside articles
+    holding: set[int] = set()
 
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(buffer)).strip()
         buffer.clear()
         if text:
-            inside = bool(stack) and stack[-1][2]
-            lines.append((text, ARTICLE if inside else ELSEWHERE))
+            inside = stack[-1][2] if stack else ELSEWHERE
+            lines.append((text, inside))
 
     at = 0
     while at < len(source):
@@ -95,7 +107,9 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
             break
         at = m.end()
         if m["text"] is not None or m["cdata"] is not None:
-            if not (stack and stack[-1][1]):
+            if stack and stack[-1][0] == "head" and (m["text"] or "").strip():
+                _close(stack, "head", frozenset())
+            if not _mute(stack):
                 text = m["cdata"] if m["text"] is None else html.unescape(m["text"])
                 buffer.append(text)
             continue
@@ -103,45 +117,61 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
             continue
         tag = m["tag"].lower()
         if not m["end"]:
-            chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             if tag not in _INLINE:
                 flush()
+            if tag not in _IN_HEAD:
+                _close(stack, "head", frozenset({"svg", "math"}))
             if tag in _VOID:
                 if tag == "br":
                     buffer.append(" ")
                 continue
             if tag in _ENDS_P:
                 _close(stack, "p", frozenset({"article", "section", "div", "table", "td", "li", "blockquote", "main", "body"}))
-                chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             if tag in _ENDS_ITSELF and tag != "p":
                 _close(stack, tag, _ENDS_ITSELF[tag])
-                chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            chrome, article, named = stack[-1][1:] if stack else (False, ELSEWHERE, False)
             attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(m["attrs"])}
             root = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
-            named = _named_chrome(attrs) and tag not in ("html", "body")
-            chrome = chrome or tag in _SILENT or tag in _CHROME or (tag == "header" and not article) or named
+            names = set() if root or m.start() in around or tag in ("html", "body") else _chrome_names(attrs)
+            hidden = _hidden(attrs) and tag not in ("html", "body")
+            chrome_by_tag = tag in _SILENT or tag in _CHROME or (tag == "header" and not article) or hidden or bool(names & _OTHERS)
+            chrome = chrome or chrome_by_tag or bool(names and article)
+            named = named or bool(names)
             if tag in _RAW:
                 end = _RAW[tag].search(source, at)
                 at = end.end() if end else len(source)
                 continue
             if m["attrs"].rstrip().endswith("/") and tag in ("svg", "math"):
                 continue
-            stack.append((tag, chrome, article or (root and not chrome)))
+            within = [x for x in within if x[0] < len(stack)]
+            if names and article and not stack[-1][1] and not chrome_by_tag:
+                within.append((len(stack), m.start()))
+            if root and within:
+                holding.update(start for _, start in within)
+            if root and not chrome and not article:
+                article = _NAMED if named else ARTICLE
+            stack.append((tag, chrome, article, named))
         else:
             if tag not in _INLINE:
                 flush()
             if tag == "br":
                 buffer.append(" ")
             _close(stack, tag, frozenset())
-    if source[at:] and not (stack and stack[-1][1]) and not source[at:].startswith("<"):
+    if source[at:] and not _mute(stack) and not source[at:].startswith("<"):
         buffer.append(html.unescape(source[at:]))
     flush()
-    if any(place for _, place in lines):
-        lines = [x for x in lines if x[1]]
-    return lines
+    if holding:
+        return page_lines(source, around | holding)
+    found = {place for _, place in lines}
+    best = next((place for place in (ARTICLE, _NAMED) if place in found), ELSEWHERE)
+    return [(text, min(place, ARTICLE)) for text, place in lines if place == best]
+
+
+def _mute(stack: list[tuple[str, bool, int, bool]]) -> bool:
+    return bool(stack) and (stack[-1][1] or (stack[-1][3] and not stack[-1][2]))
 
 
-def _close(stack: list[tuple[str, bool, bool]], tag: str, bounds: frozenset[str]) -> None:
+def _close(stack: list[tuple[str, bool, int, bool]], tag: str, bounds: frozenset[str]) -> None:
     """Close the innermost open ``tag`` and what is open inside it, unless one of ``bounds`` is between."""
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] == tag:

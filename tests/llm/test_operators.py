@@ -214,6 +214,27 @@ def test_pages(spark):
     assert pagediff.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<body><main class='with-sidebar'><p>Own</main>", "Own"),
+        ("<body><main class='sidebar'><p>Own</main>", "Own"),
+        ("<div class='layout has-sidebar'><article><p>Own</article></div>", "Own"),
+        ("<div class='banner'>Hello<article><p>Own</article></div><p>stray", "Own"),
+        ("<div id='page-header-fixed'><p>Own</div>", "Own"),
+        ("<article><h2 class='section-header'>Head</h2><p>Own<div class='share'>Share</div></article>", "Head\nOwn"),
+        ("<html><head><title>t</title><body><p>Own", "Own"),
+        ("<head><meta charset=utf-8><p>Own", "Own"),
+        ("<main><h1>T</h1><div class='banner'><article><p>Own</article></div><div class='share'>x</div></main>", "T\nOwn"),
+        ("<main><p>Own<div class='related'><article><p>Other</article></div></main>", "Own"),
+        ("<p>Own<div class=comments><article><p>Nice!</article></div>", "Own"),
+        ("<p>Own<div class='sidebar'>x<b>y</b></div><div id=siteHeader>z</div>", "Own"),
+    ],
+)
+def test_page_names(source, text):
+    assert "\n".join(t for t, _ in pagediff.page_lines(source)) == text
+
+
 def test_alignment():
     assert pagediff.shared_lines([1, 2, 3, 4], [2, 9, 4]) == {1, 3}
     assert pagediff.shared_lines([], [1]) == set()
