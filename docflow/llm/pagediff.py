@@ -6,8 +6,12 @@ templates leave in pages without telling names is found by comparison: pages of
 the page before and after it, lines are aligned by longest common subsequence, and shared lines go.
 
 Pages may be copies of each other, and then share their article too. So an alignment only counts if it covers less than
-half of either page's lines. Articles may quote the same passage; so lines inside an article element (article, main, or
-their roles) never go, and pages that have one are only aligned as neighbours of those that have none.
+half of either page's lines, and it never takes lines inside an article element (article, main, or their roles), as articles may quote the
+same passage; pages that have one are only aligned as neighbours of those that have none.
+
+Lines that are on nearly all pages near each other are templates wherever they stand: a line goes, inside articles too, if it is on
+SHARE per cent of the distinct pages of the host, or of the path's folder, and on AT_LEAST of them. Pages are distinct if their two longest
+lines differ, so that copies of a page count once however many there are; a passage that articles quote is on fewer.
 
 Hosts may be of any size: (host, path) is range-partitioned and sorted, only hashes of lines take part, and the pages at
 the ends of a partition come to their neighbours through a table of two rows for each partition.
@@ -66,6 +70,8 @@ _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textare
 _SPACE = re.compile(r"\s+")
 
 ELSEWHERE, ARTICLE, _NAMED = 0, 1, 2
+#: Distinct pages, and hundredths of a host's or folder's distinct pages, that make a line a template.
+AT_LEAST, SHARE = 10, 90
 
 
 def _hidden(attrs: dict[str, str]) -> bool:
@@ -240,7 +246,7 @@ def _line_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-_PARSED = "page_id long, url string, host string, path string, row long, lines array<string>, places array<int>, hashes array<long>"
+_PARSED = "page_id long, url string, host string, path string, row long, lines array<string>, places array<int>, hashes array<long>, folder string, sig long"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +255,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             lines = page_lines(source)
             texts = [t for t, _ in lines]
-            out.append((page, url, *_host_path(url), _line_hash(f"{url}\n{source}"), texts, [p for _, p in lines], [_line_hash(t) for t in texts]))
-        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        names = ["page_id", "url", "host", "path", "row", "lines", "places", "hashes"]
+            host, path = _host_path(url)
+            longest = sorted(set(texts), key=lambda t: (-len(t), t))[:2]
+            out.append((page, url, host, path, _line_hash(f"{url}\n{source}"), texts, [p for _, p in lines], [_line_hash(t) for t in texts], path.split("?")[0].rpartition("/")[0], _line_hash("\n".join(longest))))
+        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string(), pa.int64())
+        names = ["page_id", "url", "host", "path", "row", "lines", "places", "hashes", "folder", "sig"]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
 
 
@@ -318,6 +326,19 @@ def _beside(edges: list[tuple], page: tuple, step: int) -> tuple | None:
     return edges[at][1] if 0 <= at < len(edges) else None
 
 
+def _templates(parsed: DataFrame, work: Workspace) -> DataFrame:
+    """(host, folder, common): hashes of the lines that nearly all distinct pages of the host or folder share."""
+    places = F.array(F.xxhash64("host"), F.xxhash64("host", "folder", F.lit(1)))
+    rows = parsed.where("host <> '' and size(hashes) > 0").select("host", "folder", F.explode(places).alias("scope"), "sig", "hashes")
+    pages = rows.select("scope", "sig").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= AT_LEAST)
+    pages = work.save(pages)
+    each = rows.join(pages.select("scope"), "scope", "left_semi").select("scope", "sig", F.explode(F.array_distinct("hashes")).alias("hash")).distinct()
+    often = each.groupBy("scope", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= AT_LEAST)
+    common = often.join(pages, "scope").where(F.col("n") * 100 >= F.col("pages") * SHARE).groupBy("scope").agg(F.collect_list("hash").alias("some"))
+    scopes = parsed.select("host", "folder").distinct().select("host", "folder", F.explode(places).alias("scope"))
+    return work.save(scopes.join(common, "scope").groupBy("host", "folder").agg(F.array_distinct(F.flatten(F.collect_list("some"))).alias("common")))
+
+
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars, n_dropped (lines that differencing removed)."""
     spark = pages.sparkSession
@@ -333,12 +354,18 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     edges = sorted(((_sort_key(e), e) for e in edges), key=lambda x: x[0])
     drops = work.save(ordered.mapInArrow(_differ(edges), "id long, row long, drop array<int>").dropDuplicates(["id", "row"]))
 
-    # only pages with lines outside articles can lose any; the saved table of losses has a known size, by which Spark
-    # broadcasts it or shuffles both sides
+    # only pages with lines outside articles can lose any by alignment; the saved tables of losses and templates have a known size, by which
+    # Spark broadcasts them or shuffles both sides
     whole = ~F.array_contains("places", ELSEWHERE)
     kept = parsed.where(~whole).join(drops.withColumnRenamed("row", "drop_row"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("drop_row")), "left")
     kept = kept.select(*parsed.columns, "drop").union(parsed.where(whole).withColumn("drop", F.lit(None).cast("array<int>")))
-    remaining = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains(F.col("drop"), i)))
-    out = kept.select("page_id", "url", F.array_join(remaining, "\n").alias("text"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"))
-    out = out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.greatest("n_dropped", F.lit(0)).alias("n_dropped"))
+    kept = kept.join(_templates(parsed, work), ["host", "folder"], "left")
+    stays = F.filter(
+        F.arrays_zip("lines", "hashes", F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0))).alias("at")),
+        lambda x: ~F.coalesce(F.array_contains("drop", x["at"]), F.lit(False)) & ~F.coalesce(F.array_contains("common", x["hashes"]), F.lit(False)),
+    )
+    remaining = F.when(F.col("drop").isNull() & F.col("common").isNull() | (F.size("lines") == 0), F.col("lines")).otherwise(F.transform(stays, lambda x: x["lines"]))
+    kept = kept.select("page_id", "url", "lines", remaining.alias("left"))
+    out = kept.select("page_id", "url", F.array_join("left", "\n").alias("text"), (F.size("lines") - F.size("left")).alias("n_dropped"))
+    out = out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_dropped")
     return out.withColumnsRenamed({"page_id": id_col, "url": url_col})

@@ -214,6 +214,20 @@ def test_pages(spark):
     assert pagediff.extract(frame.limit(0)).count() == 0
 
 
+def test_page_templates_inside_articles(spark):
+    own = lambda n: f"<p>{prose(n, 20)}<p>{prose(n + 500, 18)}"
+    quote = lambda n: "<p>A passage that some quote" if n % 2 else ""
+    rows = [(n, f"http://a.b/x/{n}", f"<article><p>By the staff of a.b{own(n)}{quote(n)}</article>") for n in range(12)]
+    rows += [(100 + n, f"http://c.d/{n}", f"<article>{own(900)}<p>Short line</article>") for n in range(15)]  # one page at 15 places
+    rows += [(200 + n, f"http://e.f/{n}", f"<p>One<p>Two<p>Three<p>Four{own(n)}<p>Five") for n in range(12)]
+    out = {r.page_id: r for r in pagediff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(12):
+        wanted = f"{prose(n, 20)}\n{prose(n + 500, 18)}"
+        assert out[n].text == wanted + ("\nA passage that some quote" if n % 2 else "") and out[n].n_dropped == 1
+        assert out[200 + n].text == wanted and out[200 + n].n_dropped == 5
+    assert all(out[100 + n].n_dropped == 0 and out[100 + n].text.endswith("Short line") for n in range(15))
+
+
 @pytest.mark.parametrize(
     "source, text",
     [
