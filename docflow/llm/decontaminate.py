@@ -88,6 +88,19 @@ def matches(
     """(id, item, similarity, start): the best window of each document and item that are at least ``percent`` similar.
 
     start: the window's first word, from 0."""
+    scored = _scored(docs, benchmark, id_col, text_col, item_col, item_text_col, shingle_words, percent, radius)
+    best = scored.groupBy("id", "item").agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).alias("start"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "similarity", "start")
+
+
+def _row_hash(text: Column) -> Column:
+    return F.xxhash64(text, F.length(text))
+
+
+def _scored(
+    docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, shingle_words: int, percent: int, radius: int
+) -> DataFrame:
+    """(id, row_hash, item, similarity, start, ...) of all windows and items that are similar enough."""
     k = int(shingle_words)
     items = benchmark.select(F.col(item_col).alias("item"), shingles(F.col(item_text_col), k).alias("item_shingles")).where("item_shingles is not null")
     items = items.withColumn("item_size", F.size("item_shingles"))
@@ -101,7 +114,7 @@ def matches(
     )
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
-    texts = texts.withColumn("row_hash", F.xxhash64("body", F.length("body")))
+    texts = texts.withColumn("row_hash", _row_hash(F.col("body")))
     spread = texts.select("id", "row_hash", F.explode(shingles(F.col("body"), k, stride)).alias("shingle"))
     near = spread.join(wanted.select("shingle").distinct(), "shingle").groupBy("id", "row_hash").agg(F.count(F.lit(1)).alias("hits"))
     # the texts of these only: a table of ids that is measured to be small is broadcast, else both sides are shuffled
@@ -124,23 +137,34 @@ def matches(
     again = hashed.select(F.col("id").alias("own"), F.col("row_hash").alias("own_hash"), "shingles")
     found = grouped.join(again, F.col("id").eqNullSafe(F.col("own")) & (F.col("row_hash") == F.col("own_hash")))
     cut = F.transform("windows", lambda w: F.struct(w["item"].alias("item"), w["start"].alias("start"), F.slice(F.col("shingles"), w["start"] + 1, w["width"]).alias("window")))
-    cut = found.select("id", F.explode(cut).alias("w")).select("id", "w.item", "w.start", "w.window").dropDuplicates(["id", "item", "start", "window"])
+    cut = found.select("id", "row_hash", F.explode(cut).alias("w")).select("id", "row_hash", "w.item", "w.start", "w.window").dropDuplicates(["id", "row_hash", "item", "start", "window"])
 
     left = cut.withColumn("fingerprint", simhash(F.col("window")))
     left = left.withColumn("b", F.explode(_blocks(F.col("fingerprint"), radius + 1)))
     right = items.select("item", "item_shingles", simhash(F.col("item_shingles")).alias("item_print"))
     right = right.withColumn("b", F.explode(_blocks(F.col("item_print"), radius + 1)))
     met = left.join(right, ["item", "b"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= radius)
-    met = met.dropDuplicates(["id", "item", "start", "window", "item_shingles"])
+    met = met.dropDuplicates(["id", "row_hash", "item", "start", "window", "item_shingles"])
 
     common = _common(F.col("window"), F.col("item_shingles"))
     scored = met.withColumn("common", common).withColumn("total", F.size("window") + F.size("item_shingles") - F.col("common"))
-    scored = scored.where(F.col("common") * 100 >= F.col("total") * int(percent)).withColumn("similarity", F.col("common") / F.col("total"))
-    best = scored.groupBy("id", "item").agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).alias("start"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "similarity", "start")
+    return scored.where(F.col("common") * 100 >= F.col("total") * int(percent)).withColumn("similarity", F.col("common") / F.col("total"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id matches no benchmark item; all columns stay."""
-    found = matches(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_found")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_found"]), "left_anti")
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    shingle_words: int = 5,
+    percent: int = 80,
+    radius: int = 19,
+) -> DataFrame:
+    """The rows of ``docs`` whose text matches no benchmark item, whatever other rows have their id; all columns stay."""
+    scored = _scored(docs, benchmark, id_col, text_col, item_col, item_text_col, shingle_words, percent, radius)
+    found = scored.select(F.col("id").alias("_found"), F.col("row_hash").alias("_found_hash")).distinct()
+    same = docs[id_col].eqNullSafe(found["_found"]) & (_row_hash(docs[text_col].cast("string")) == found["_found_hash"])
+    return docs.join(found, same, "left_anti")

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docflow.llm.graph import connected_components, spanning_edges
 from docflow.llm.words import mix64, shingle_sets, word_chunks
@@ -65,7 +65,7 @@ def _sums(own: np.ndarray) -> tuple[int, int]:
 
 
 def signature_batches(words: int, bands: int, rows: int):
-    """A ``mapInArrow`` function: (id, text) -> (id, n, f1, f2, bands)."""
+    """A ``mapInArrow`` function: (id, text, text_hash) -> (id, n, f1, f2, bands, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +86,7 @@ def signature_batches(words: int, bands: int, rows: int):
             flat = pa.array(np.ascontiguousarray(keys).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], ["id", "n", "f1", "f2", "bands"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, batch.column(2)], ["id", "n", "f1", "f2", "bands", "text_hash"]
             )
 
     return run
@@ -169,9 +169,15 @@ def near_duplicates(
 
     ``percent``: least Jaccard similarity of linked texts, in hundredths. component_id: the smallest id that links reach.
     """
-    work = Workspace(docs.sparkSession, "minhash")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = work.save(source.mapInArrow(signature_batches(shingle_words, bands, rows), "id long, n long, f1 long, f2 long, bands array<long>"))
+    out = _components(source, Workspace(docs.sparkSession, "minhash"), shingle_words, percent, bands, rows)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def _components(source: DataFrame, work: Workspace, shingle_words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(id, n, component, text_hash) of each row of ``source`` (id, text)."""
+    hashed = source.select("id", "text", _text_hash(F.col("text")).alias("text_hash"))
+    signed = work.save(hashed.mapInArrow(signature_batches(shingle_words, bands, rows), "id long, n long, f1 long, f2 long, bands array<long>, text_hash long"))
 
     filled = signed.where("n > 0")
     classes = work.save(filled.where("id is not null").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands")))
@@ -182,9 +188,13 @@ def near_duplicates(
 
     found = connected_components(links, work)
     labels = classes.select("f1", "f2", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
-    out = signed.select("id", "n", "f1", "f2").join(labels, ["f1", "f2"], "left")
+    out = signed.select("id", "n", "f1", "f2", "text_hash").join(labels, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "n", component.alias("component"), "text_hash")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text, F.length(text))
 
 
 def _links(source: DataFrame, members: DataFrame, work: Workspace, words: int, percent: int) -> DataFrame:
@@ -250,9 +260,23 @@ def _block_links(many: DataFrame, texts: DataFrame, work: Workspace, words: int,
     return work.save(dealt.mapInArrow(block_batches(words, percent), "a long, b long"))
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; all columns stay. Of an id on several rows, all
-    of its rows stay, and so do rows without id that nothing else represents."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+def one_of_each(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 45, rows: int = 6
+) -> DataFrame:
+    """One row of ``docs`` of each component, that of the smallest id; all columns stay. Each row is judged by its own text: rows that
+    repeat an id with another text are nodes of their own, equal rows stay or go together, and rows without id stay if no row with an id represents them."""
+    work = Workspace(docs.sparkSession, "one_of_each")
+    own, text = docs[id_col].cast("long"), docs[text_col].cast("string")
+    source = docs.select(own.alias("id"), text.alias("text"))
+    names = None
+    if not source.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        # numbers in the order of (id, hash) name the different texts of an id
+        each = source.where("id is not null").select("id", _text_hash(F.col("text")).alias("hash")).distinct().orderBy("id", "hash")
+        names = work.save(each.withColumn("node", F.monotonically_increasing_id()))
+        hashed = source.withColumn("hash", _text_hash(F.col("text")))
+        source = hashed.join(names, ["id", "hash"], "left").select(F.col("node").alias("id"), "text")
+    found = _components(source, work, shingle_words, percent, bands, rows).where(~F.col("id").eqNullSafe(F.col("component")))
+    gone = found.select(F.col("id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct()
+    if names is not None:
+        gone = gone.join(names.select(F.col("node").alias("_gone"), "id"), "_gone", "left").select(F.col("id").alias("_gone"), "_gone_hash")
+    return docs.join(gone, own.eqNullSafe(gone["_gone"]) & (_text_hash(text) == gone["_gone_hash"]), "left_anti")

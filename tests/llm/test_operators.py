@@ -62,6 +62,25 @@ def test_one_of_each_keeps_columns(spark):
     assert out.columns == ["doc_id", "text", "component", "keep"] and sorted(r.doc_id for r in out.collect()) == [1, 3]
 
 
+def test_one_of_each_judges_rows(spark):
+    one, two, three = prose(1, 50), prose(2, 50), prose(3, 50)
+    rows = [(1, one), (None, one), (None, two), (None, None), (5, one), (5, three), (7, prose(4, 50)), (6, three), (6, "six"), (8, "")]
+    out = minhash.one_of_each(docs_of(spark, rows)).collect()
+    wanted = [(1, one), (None, two), (None, None), (5, three), (7, prose(4, 50)), (6, "six"), (8, "")]
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(wanted, key=str)
+    unique = [r for r in rows if r[0] not in (5, 6)]
+    out = minhash.one_of_each(docs_of(spark, unique)).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([w for w in wanted if w[0] not in (5, 6)], key=str)
+
+
+def test_clean_judges_rows(spark):
+    item = prose(3, 40, 5000)
+    rows = [(None, item), (None, prose(4, 60, 5000)), (None, None), (5, f"{prose(5, 30, 5000)} {item}"), (5, prose(6, 60, 5000))]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    out = decontaminate.clean(docs_of(spark, rows), bench).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([rows[1], rows[2], rows[4]], key=str)
+
+
 def test_lines(spark):
     line, short = "This line is repeated widely", "short"
     rows = [(1, f"{line}\n{short}\na"), (2, f"  {line.upper()}\t\nb"), (3, f"{line}\n{line}\nc"), (4, None), (5, f"{short}\nunique line of this document"), (6, short)]
