@@ -1,10 +1,11 @@
 """Chat formatting by linking quotations.
 
 Lines that begin with ``>`` are quotations; the number of marks is their level, and a run of lines of one level is a
-passage. Its lines are normalised (white space, case) and hashed one by one, so that a shortened or re-wrapped quotation of whole lines still
-links. Hashes meet those of the lines that earlier messages of the conversation wrote themselves, a line counting for
-the first that wrote it; the message with the most matching lines of the outermost level is the one replied to, the latest of equals. Without such a message, a message is a
-reply to none. Threads and depths follow by pointer jumping, and the text is what is left without quotations and the lines that announce them.
+passage. Passages are normalised (white space, case; lines joined by a space) and hashed whole, and so are the texts that earlier messages of the
+conversation wrote themselves: a passage that is all of a message links at any length. Lines are hashed one by one too, so that a shortened quotation
+of whole lines links, and so are all runs of SHINGLE words, which a wrapped quotation or a part of a line shares with its source. Each hash counts for the first message that
+wrote it; the message replied to is the one with the most whole messages quoted at the outermost level, then the most lines and
+runs of words there, then at any level, the latest of equals. Without such a message, a message is a reply to none. Threads and depths follow by pointer jumping, and the text is what is left without quotations and the lines that announce them.
 
 Defined cases: a null text is empty; null roles become ``user``. Rows of one conversation with one turn are told apart by a hash of role and
 text, and exact repeats are kept but link as one. A row with null conversation or turn replies to nothing. A message is never its own
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docflow.llm.workspace import Workspace
 
 _MARKS = r"^[\x20\t]*((?:>[\x20\t]?)+)"
+#: Words in a run that links.
+SHINGLE = 5
 #: Lines that announce a quotation, in fixed forms of mail programs.
 ANNOUNCE = r"(?i)^\s*(on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,80}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)\s*:\s*$"
 
@@ -38,12 +41,37 @@ def own_text(parsed: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
 
 
+def _hashes(parsed: Column, min_chars: int) -> Column:
+    """array<struct<level, whole, hash>> of a message: its passages whole, their lines, and their runs of SHINGLE words. What it wrote itself is one passage."""
+    passage = "struct<level: int, body: string>"
+    cut = F.filter(parsed, lambda x, i: ~((x["level"] == 0) & x["body"].rlike(ANNOUNCE) & F.coalesce(F.get(parsed, i + 1)["level"] > 0, F.lit(False))))
+    own = F.struct(F.lit(0).alias("level"), F.array_join(F.transform(F.filter(cut, lambda x: x["level"] == 0), lambda x: x["body"]), " ").alias("body")).cast(passage)
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.struct(x["level"].alias("level"), F.concat(last["body"], F.lit(" "), x["body"]).alias("body")).cast(passage)
+        same = (F.size(acc) > 0) & F.coalesce(last["level"] == x["level"], F.lit(False))
+        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(x.cast(passage))))
+
+    runs = F.filter(F.aggregate(parsed, F.array().cast(f"array<{passage}>"), step), lambda x: x["level"] > 0)
+    passages = F.filter(F.transform(F.concat(F.array(own), runs), lambda x: F.struct(x["level"].alias("level"), normalised(x["body"]).alias("body"))), lambda x: x["body"] != "")
+    lines_ = F.filter(F.transform(parsed, lambda x: F.struct(x["level"].alias("level"), normalised(x["body"]).alias("body"))), lambda x: F.length(x["body"]) >= min_chars)
+    made = lambda level, whole, value: F.struct(level.alias("level"), F.lit(whole).alias("whole"), F.xxhash64(value).alias("hash"))
+    # an array of structs, so that the words of a passage are split once and not for each run
+    worded = F.transform(passages, lambda p: F.struct(p["level"].alias("level"), F.split(p["body"], " ").alias("words")))
+    starts = lambda p: F.sequence(F.lit(0), F.greatest(F.size(p["words"]) - SHINGLE, F.lit(0)))
+    run = lambda p, i: F.concat_ws(" ", *(F.get(p["words"], i + j) for j in range(SHINGLE)))
+    shingles = lambda p: F.when(F.size(p["words"]) >= SHINGLE, F.transform(starts(p), lambda i: made(p["level"], False, run(p, i))))
+    parts = F.filter(F.transform(worded, shingles), lambda x: x.isNotNull())
+    return F.concat(F.transform(passages, lambda p: made(p["level"], True, p["body"])), F.transform(lines_, lambda x: made(x["level"], False, x["body"])), F.flatten(parts))
+
+
 def conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", min_chars: int = 12) -> DataFrame:
     """One row per message: conv_id, turn, role, text (its own), n_quoted (lines), reply_to (turn), thread (turn of the first
     message), depth, formatted.
 
     Sorted by (conv_id, thread, depth, turn), rows are conversations in the order of replies. ``min_chars``: shorter lines
-    don't link.
+    don't link by themselves; passages that are whole messages do.
     """
     work = Workspace(messages.sparkSession, "quotes")
     rows = messages.select(
@@ -54,14 +82,16 @@ def conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: s
     )
     parsed = work.save(rows.withColumn("lines", lines(F.col("raw"))).withColumn("key", F.xxhash64("role", F.coalesce("raw", F.lit("")))).drop("raw"))
 
-    each = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", "key", F.explode("lines").alias("x"))
-    each = each.select("conv_id", "turn", "key", "x.level", normalised(F.col("x.body")).alias("body")).where(F.length("body") >= min_chars)
-    each = each.withColumn("hash", F.xxhash64("body"))
-    quoted = each.where("level > 0").groupBy("conv_id", "hash", "turn", "key").agg(F.min("level").alias("level"))
-    written = each.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("parent"))
-    met = quoted.join(written, ["conv_id", "hash"]).where("parent < turn")
-    counts = met.groupBy("conv_id", "turn", "key", "parent").agg(F.count_if(F.col("level") == 1).alias("outer_lines"), F.count(F.lit(1)).alias("all_lines"))
-    parents = work.save(counts.groupBy("conv_id", "turn", "key").agg(F.max(F.struct("outer_lines", "all_lines", "parent")).alias("best")).select("conv_id", "turn", "key", F.col("best.parent").alias("reply_to")))
+    known = parsed.where("conv_id is not null and turn is not null")
+    each = known.select("conv_id", "turn", "key", F.explode(_hashes(F.col("lines"), min_chars)).alias("x")).select("conv_id", "turn", "key", "x.*")
+    quoted = each.where("level > 0").groupBy("conv_id", "whole", "hash", "turn", "key").agg(F.min("level").alias("level"))
+    written = each.where("level = 0").groupBy("conv_id", "whole", "hash").agg(F.min("turn").alias("parent"))
+    met = quoted.join(written, ["conv_id", "whole", "hash"]).where("parent < turn")
+    outer = F.col("level") == 1
+    counts = met.groupBy("conv_id", "turn", "key", "parent").agg(
+        F.count_if(outer & F.col("whole")).alias("outer_whole"), F.count_if(outer).alias("outer_parts"), F.count(F.lit(1)).alias("all_parts")
+    )
+    parents = work.save(counts.groupBy("conv_id", "turn", "key").agg(F.max(F.struct("outer_whole", "outer_parts", "all_parts", "parent")).alias("best")).select("conv_id", "turn", "key", F.col("best.parent").alias("reply_to")))
 
     threads = _threads(parents, work)
     same = parsed.join(parents, ["conv_id", "turn", "key"], "left").join(threads, ["conv_id", "turn"], "left")

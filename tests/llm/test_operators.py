@@ -214,6 +214,17 @@ def test_quotations(spark):
     assert out[3].reply_to is None and out[3].text == "" and out[None].role == "user"
 
 
+def test_short_wrapped_and_partial_quotations(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [
+        (1, 0, "user", "Is it ok?"), (1, 1, "assistant", "> Is it ok?\nYes, do it"), (1, 2, "user", "> Yes, do it\nDone"), (1, 3, "assistant", long),
+        (1, 4, "user", "> one two three four five six\n> seven eight nine ten eleven twelve\nSee"), (1, 5, "user", "> five six seven eight nine ten\nMore"),
+        (1, 6, "user", "Is it ok?"), (1, 7, "assistant", "> Is it ok?\nAgain"), (2, 1, "user", "> Is it ok?"),
+    ]
+    out = {(r.conv_id, r.turn): r.reply_to for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out == {(1, 0): None, (1, 1): 0, (1, 2): 1, (1, 3): None, (1, 4): 3, (1, 5): 3, (1, 6): None, (1, 7): 0, (2, 1): None}
+
+
 PAGE = "<html><head><title>t</title></head><body><nav><a>Menu</a></nav><div class='cookie-notice'>We use cookies</div>{}<div id=comments><p>Nice!</p></div><footer>f</footer></body></html>"
 
 
