@@ -536,8 +536,8 @@ def pdf_sections(messages):
 
 @query("crawl_records", "pages", None)
 def crawl_records(pages):
-    """Three levels of links from the start; links lead out of the table, so most records are pages not found."""
-    return crawl.collect_records(pages, START, max_depth=2).decisions.select("url", "depth", "decision", "failed")
+    """All that links reach from the start; links lead out of the table, so most records are pages not found."""
+    return crawl.collect_records(pages, START).decisions.select("url", "depth", "decision", "failed")
 
 
 def quality_judge(spark: SparkSession, sf_dir: str) -> DataFrame:

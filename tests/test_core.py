@@ -24,6 +24,12 @@ def test_query_equals_sql(spark, sf, name):
     assert _rows(core.QUERIES[name](spark, sf).toPandas()) == _rows(con.execute(core.ORACLE_SQL[name]).df())
 
 
+def test_crawl_records_has_no_depth_limit(spark, tmp_path):
+    rows = [(n, core.START if n == 0 else f"{core.START}p{n}", f'<h1>P{n}</h1><p>Text of page {n}.</p><a href="/en/p{n + 1}">next</a>') for n in range(5)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.depth for r in core.QUERIES["crawl_records"](spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def _sequential(rows):
     ones, twos, out = set(), set(), {}
     for order, one, two in sorted(rows):
