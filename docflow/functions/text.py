@@ -19,8 +19,8 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode composition; ASCII texts never reach Python."""
-    return F.when(text.rlike(ASCII), text).otherwise(_nfc(text))
+    """Unicode composition. Python sees a null in place of an ASCII text."""
+    return F.coalesce(_nfc(F.when(~text.rlike(ASCII), text)), text)
 
 
 def strip(text: Column) -> Column:

@@ -25,7 +25,7 @@ def _composed(value):
 
 @F.pandas_udf(StringType())
 def _compose_json(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else json.dumps(_composed(json.loads(t)), ensure_ascii=False))
+    return texts.map(lambda t: t if t is None else json.dumps(_composed(json.loads(t)), ensure_ascii=False))
 
 
 def _prose(text: Column) -> Column:
@@ -70,7 +70,9 @@ def clean_records(records: DataFrame) -> DataFrame:
     kept = [c for c in records.columns if c not in ("title", "content_blocks", "code_blocks", "errors")]
     parts = F.struct("title", "content_blocks", "code_blocks")
     schema = records.select(parts.alias("p")).schema["p"].dataType
-    composed = records.withColumn("_p", F.from_json(_compose_json(F.to_json(parts)), schema))
+    # records of ASCII texts stay as they are: their JSON is a null for Python
+    mixed = F.when(~F.to_json(parts).rlike(T.ASCII), F.to_json(parts))
+    composed = records.withColumn("_p", F.coalesce(F.from_json(_compose_json(mixed), schema), parts))
     no_codes = F.array().cast(records.schema["code_blocks"].dataType)
     codes = F.transform(
         F.coalesce("_p.code_blocks", no_codes),

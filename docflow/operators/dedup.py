@@ -27,31 +27,34 @@ def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
 def first_of_two_keys(rows: DataFrame, order: str, one: str, two: str) -> DataFrame:
     """``rows`` with ``decision``: accepted, or the key that an earlier accepted row has (``one`` before ``two``).
 
-    Row by row, a row is rejected if an accepted row has either key, and only accepted rows count. Empty or null values of ``one``
-    never match. In rounds: among undecided rows, one that comes first under both keys is accepted, and rows that share a key with an
-    earlier accepted row are rejected. Each round aggregates minima and joins them back. ``order`` is unique.
+    Row by row, a row is rejected if an accepted row has either key, and only accepted rows count. A null is no key, and neither is an
+    empty text of ``one``; rows without keys are accepted. Rows that repeat a value of ``order`` come in any order, but one after another.
+
+    In rounds: among undecided rows, one that comes first under both keys is accepted, and rows that share a key with an
+    earlier accepted row are rejected. Each round aggregates minima and joins them back. The first undecided row is decided in every round, so
+    the rounds end; their number is that of the longest chain in which each row hangs on the one before it, a few for keys that repeat at random.
     """
     work = Workspace(rows.sparkSession, "dedup")
-    keys = rows.select(F.col(order).alias("o"), F.nullif(F.col(one), F.lit("")).alias("k1"), F.col(two).alias("k2"))
-    open_rows = work.save(keys)
-    accepted = None
+    held = work.save(rows.withColumn("_row", F.monotonically_increasing_id()))
+    keys = held.select(F.struct(F.col(order).alias("order"), F.col("_row").alias("row")).alias("o"), F.nullif(F.col(one), F.lit("")).alias("k1"), F.col(two).alias("k2"))
+    open_rows = keys = work.save(keys)
+    accepted = keys.limit(0)
     while not open_rows.isEmpty():
         first1 = open_rows.where("k1 is not null").groupBy("k1").agg(F.min("o").alias("m1"))
-        first2 = open_rows.groupBy("k2").agg(F.min("o").alias("m2"))
-        now = open_rows.join(first1, "k1", "left").join(first2, "k2")
-        taken = work.save(now.where("o = m2 and (k1 is null or o = m1)").select("o", "k1", "k2"))
-        accepted = taken if accepted is None else accepted.unionByName(taken)
+        first2 = open_rows.where("k2 is not null").groupBy("k2").agg(F.min("o").alias("m2"))
+        now = open_rows.join(first1, "k1", "left").join(first2, "k2", "left")
+        taken = work.save(now.where("(k1 is null or o = m1) and (k2 is null or o = m2)").select("o", "k1", "k2"))
+        accepted = accepted.unionByName(taken)
         left = open_rows.join(taken.select("o"), "o", "left_anti")
-        left = left.join(taken.where("k1 is not null").select("k1").distinct(), "k1", "left_anti").join(taken.select("k2").distinct(), "k2", "left_anti")
+        left = left.join(taken.where("k1 is not null").select("k1"), "k1", "left_anti").join(taken.where("k2 is not null").select("k2"), "k2", "left_anti")
         following = work.save(left.select("o", "k1", "k2"))
-        work.drop(open_rows)
+        if open_rows is not keys:
+            work.drop(open_rows)
         open_rows = following
-    if accepted is None:
-        return rows.withColumn("decision", F.lit("accepted"))
     by1 = accepted.where("k1 is not null").select(F.col("k1"), F.col("o").alias("a1"))
     decided = keys.join(accepted.select("o", F.lit(True).alias("ok")), "o", "left").join(by1, "k1", "left")
     decision = F.when(F.col("ok"), "accepted").when(F.col("a1") < F.col("o"), one).otherwise(two)
-    return rows.join(decided.select(F.col("o").alias(order), decision.alias("decision")), order)
+    return held.join(decided.select(F.col("o.row").alias("_row"), decision.alias("decision")), "_row").drop("_row")
 
 
 def repeated_prose(rows: DataFrame, owner: str, position: str, text: str, min_chars: int) -> DataFrame:

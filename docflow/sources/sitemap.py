@@ -39,31 +39,32 @@ def documents(files: DataFrame) -> DataFrame:
     return files.withColumn("_d", _documents("body")).select("*", "_d.is_index", "_d.locs").drop("_d")
 
 
-def expand(targets: DataFrame, files: DataFrame, *, max_files: int = MAX_FILES) -> DataFrame:
+def expand(targets: DataFrame, files: DataFrame, *, max_files: int | None = None) -> DataFrame:
     """URLs of the sitemaps of ``targets`` (target, sitemap) -> (target, url, ord); repeats stay, ``ord`` sorts by order of arrival.
 
-    Files are read breadth first, at most ``max_files`` for one target, each once; one that is missing or malformed gives nothing.
+    Files are read breadth first until none is new, each once for a target; one that is missing or malformed gives nothing, and neither does a null target. ``max_files``
+    stops earlier, as a budget of requests would (MAX_FILES is the usual one): the files that come first, by depth, by position, and then by address.
     A URL counts if it has the target's host, is no asset, and lies under the prefix of the target's path.
     """
     work = Workspace(targets.sparkSession, "sitemap")
     read = work.save(documents(files.select(F.col("url").alias("sitemap"), "body")).where("locs is not null").select("sitemap", "is_index", "locs"))
-    level = work.save(targets.select("target", "sitemap").distinct().withColumn("path", F.array(F.lit(0))))
+    level = work.save(targets.select("target", "sitemap").dropna().distinct().withColumn("path", F.array(F.lit(0))))
     visited = level
-    for _ in range(max_files - 1):
+    while not level.isEmpty():
         refs = level.join(read.where("is_index"), "sitemap").select("target", "path", F.posexplode("locs").alias("pos", "sitemap"))
         found = refs.groupBy("target", "sitemap").agg(F.min(F.concat("path", F.array("pos"))).alias("path"))
-        found = found.join(visited.select("target", "sitemap"), ["target", "sitemap"], "left_anti")
-        nth = F.row_number().over(Window.partitionBy("target").orderBy("path"))
-        level = work.save(found.withColumn("_n", nth).where(F.col("_n") < max_files).drop("_n"))
-        if level.isEmpty():
-            break
+        level = work.save(found.join(visited.select("target", "sitemap"), ["target", "sitemap"], "left_anti"))
         visited = visited.unionByName(level)
-    turn = F.row_number().over(Window.partitionBy("target").orderBy(F.size("path"), "path"))
-    taken = visited.withColumn("turn", turn).where(F.col("turn") <= max_files)
-    urls = taken.join(read.where("not is_index"), "sitemap").select("target", "turn", F.posexplode("locs").alias("pos", "url"))
+        if max_files is not None:
+            # files of a later level come after all of this one, so those beyond the budget here can't be read
+            nth = F.row_number().over(Window.partitionBy("target").orderBy(F.size("path"), "path", "sitemap"))
+            before = visited
+            visited = work.save(before.withColumn("_n", nth).where(F.col("_n") <= max_files).drop("_n"))
+            level = level.join(visited.select("target", "sitemap"), ["target", "sitemap"], "left_semi")
+    urls = visited.join(read.where("not is_index"), "sitemap").select("target", "path", "sitemap", F.posexplode("locs").alias("pos", "url"))
     low, prefix = F.lower(U.path(F.col("url"))), U.sitemap_prefix(U.path(F.col("target")))
     kept = (U.domain(F.col("url")) == U.domain(F.col("target"))) & ~U.ends_with_any(low, rules.ASSETS) & ((prefix == "/") | low.startswith(prefix))
-    return urls.where(kept).select("target", "url", F.struct("turn", "pos").alias("ord"))
+    return urls.where(kept).select("target", "url", F.struct(F.size("path").alias("depth"), "path", "sitemap", "pos").alias("ord"))
 
 
 def _parts(url: Column) -> Column:
@@ -96,23 +97,28 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return robots.select("start", F.concat(root, F.lit("/sitemap.xml")).alias("sitemap")).unionByName(named).distinct()
 
 
-def seed_urls(sitemaps: DataFrame, files: DataFrame, *, max_files: int = MAX_SEED_FILES, max_urls: int = MAX_SEED_URLS) -> DataFrame:
-    """Viable seeds of ``sitemaps`` (start, sitemap) -> (start, url), by a pattern and not by XML; smallest file names first."""
+def seed_urls(sitemaps: DataFrame, files: DataFrame, *, max_files: int | None = MAX_SEED_FILES, max_urls: int | None = MAX_SEED_URLS) -> DataFrame:
+    """Viable seeds of ``sitemaps`` (start, sitemap) -> (start, url), by a pattern and not by XML; smallest file names first.
+
+    The limits are a feature: seeds are a first choice of pages, and by default there are as many as a crawl starts from. None: no limit."""
     work = Workspace(sitemaps.sparkSession, "seeds")
     locs = files.select(F.col("url").alias("sitemap"), F.explode(F.regexp_extract_all("body", F.lit(_LOC), F.lit(1))).alias("raw"))
     locs = work.save(locs.select("sitemap", U.seed_form(H.plain(F.col("raw"))).alias("loc")).where("loc <> ''").distinct())
     nested = F.col("loc").endswith(".xml") & F.lower("loc").contains("sitemap")
     same = U.domain(F.col("loc")) == U.domain(F.col("start"))
-    level = work.save(sitemaps.select("start", "sitemap").distinct().withColumn("depth", F.lit(0)))
-    visited = level
-    for depth in range(1, max_files):
+    level = work.save(sitemaps.select("start", "sitemap").dropna().distinct().withColumn("depth", F.lit(0)))
+    visited, depth = level, 0
+    while not level.isEmpty() and (max_files is None or depth < max_files - 1):
+        depth += 1
         found = level.join(locs.where(nested), "sitemap").where(same).select("start", F.col("loc").alias("sitemap")).distinct()
         level = work.save(found.join(visited, ["start", "sitemap"], "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
         visited = visited.unionByName(level)
-    turn = F.row_number().over(Window.partitionBy("start").orderBy("depth", "sitemap"))
-    taken = visited.withColumn("turn", turn).where(F.col("turn") <= max_files)
-    urls = taken.join(locs.where(~nested), "sitemap").where(U.is_viable_seed(F.col("loc"), F.col("start"))).groupBy("start", F.col("loc").alias("url")).agg(F.min("turn").alias("turn"))
+    if max_files is not None:
+        turn = F.row_number().over(Window.partitionBy("start").orderBy("depth", "sitemap"))
+        visited = visited.withColumn("turn", turn).where(F.col("turn") <= max_files)
+    first = F.min(F.struct("depth", "sitemap")).alias("turn")
+    urls = visited.join(locs.where(~nested), "sitemap").where(U.is_viable_seed(F.col("loc"), F.col("start"))).groupBy("start", F.col("loc").alias("url")).agg(first)
+    if max_urls is None:
+        return urls.select("start", "url")
     nth = F.row_number().over(Window.partitionBy("start").orderBy("turn", "url"))
     return urls.withColumn("n", nth).where(F.col("n") <= max_urls).select("start", "url")

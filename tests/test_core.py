@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from docflow import queries as core
-from docflow.operators import dedup, render, sections
+from docflow.operators import dedup, frontier, render, sections
 from pyspark.sql import functions as F
 
 TABLES = ("pages", "documents", "conversations", "events", "labels")
@@ -17,7 +17,8 @@ def _rows(frame):
 
 
 @pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
-def test_query_equals_sql(spark, sf, name):
+def test_query_equals_sql(spark, name):
+    sf = "/root/testdata/sf0.01"  # the scale at which results are compared, where hosts and sources have several pages
     con = duckdb.connect()
     for table in TABLES:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
@@ -35,7 +36,7 @@ def _sequential(rows):
     for order, one, two in sorted(rows):
         if one and one in ones:
             out[order] = "one"
-        elif two in twos:
+        elif two in twos and two is not None:
             out[order] = "two"
         else:
             out[order] = "accepted"
@@ -53,12 +54,53 @@ def test_two_keys_as_row_by_row(spark, seed):
     assert {r.o: r.decision for r in got} == _sequential(rows)
 
 
+@pytest.mark.parametrize("seed", range(3, 6))
+def test_two_keys_with_nulls(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["", None, *"abc"]), rng.choice([None, None, *"uvwx"])) for i in range(50)]
+    got = dedup.first_of_two_keys(spark.createDataFrame(rows, "o int, one string, two string"), "o", "one", "two").collect()
+    out = {r.o: r.decision for r in got}
+    assert len(got) == 50 and out == _sequential(rows)
+
+
+def test_two_keys_repeated_order_and_chain(spark):
+    schema = "o int, one string, two string"
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, None, None), (None, "b", "y"), (2, "b", "z")]
+    got = dedup.first_of_two_keys(spark.createDataFrame(rows, schema), "o", "one", "two").collect()
+    assert sorted((r.o or 0, r.decision) for r in got) == [(0, "accepted"), (1, "accepted"), (1, "accepted"), (1, "one"), (2, "one")]
+    chain = [(i, f"k{i // 2}", f"h{(i + 1) // 2}") for i in range(12)]
+    got = dedup.first_of_two_keys(spark.createDataFrame(chain, schema), "o", "one", "two").collect()
+    assert {r.o: r.decision for r in got} == _sequential(chain)
+    assert dedup.first_of_two_keys(spark.createDataFrame([], schema), "o", "one", "two").count() == 0
+
+
 def test_two_keys_counter_example(spark):
     rows = [(1, "c1", "h1"), (2, "c2", "h1"), (3, "c2", "h3"), (4, "c1", "h4"), (5, "c5", "h4")]
     got = dedup.first_of_two_keys(spark.createDataFrame(rows, "o int, one string, two string"), "o", "one", "two").collect()
     assert sorted(r.o for r in got if r.decision == "accepted") == [1, 3, 5]
 
 
+def test_traversal(spark):
+    edges = [(i, j) for i in range(40) for j in ((i + 1) % 40, (i * 7) % 40)] + [(None, 1), (3, None), (50, 51)]
+    out = frontier.traverse(spark.createDataFrame([(0,), (0,), (None,)], "node int"), spark.createDataFrame(edges, "src int, dst int")).collect()
+    level, depth = {0: 0}, 0
+    while True:
+        new = {b for a, b in edges if level.get(a) == depth and b is not None and b not in level}
+        if not new:
+            break
+        depth += 1
+        level |= dict.fromkeys(new, depth)
+    assert len(out) == len(level) and {r.node: r.depth for r in out} == level
+
+
+def test_composition(spark):
+    from docflow.functions import text as T
+
+    rows = [("plain",), ("e\u0301a",), (None,), ("",), ("\u212b",)]
+    out = spark.createDataFrame(rows, "t string").select(T.nfc(F.col("t"))).collect()
+    assert [r[0] for r in out] == ["plain", "\xe9a", None, "", "\xc5"]
+
+
 def test_heading_levels(spark):
     got = spark.range(1).select(render.heading_levels(F.array(*map(F.lit, [2, 4, 3, 1]))).alias("x")).first().x
     assert got == [3, 4, 4, 3]

@@ -25,6 +25,22 @@ def test_sitemap_index_within_prefix(spark):
     assert [(r.target, r.url) for r in out.collect()] == [("https://h/docs/home/", "https://h/docs/x")]
 
 
+def test_sitemaps_without_and_with_a_budget(spark):
+    """Forty sitemaps of one site, each an index of one file, which point back at each other; read to their end, or the first files only."""
+    at = "https://maps.example/{}.xml".format
+    index = "<sitemapindex>{}</sitemapindex>".format
+    files = [(at(f"i{n}"), index("".join(f"<sitemap><loc>{at(u)}</loc></sitemap>" for u in (f"a{n}", f"i{(n + 1) % 40}")))) for n in range(40)]
+    files += [(at(f"a{n}"), _urlset(f"https://h/p{n}", f"https://h/p{n}")) for n in range(40)] + [(None, "x"), ("https://m/none.xml", None)]
+    targets = [("https://h/", at(f"i{n}")) for n in range(0, 40, 10)] + [("https://k/", None), (None, at("i1"))]
+    frames = spark.createDataFrame(targets, "target string, sitemap string"), spark.createDataFrame(files, "url string, body string")
+    whole = sitemap.expand(*frames).collect()
+    assert sorted(r.url for r in whole) == sorted(2 * [f"https://h/p{n}" for n in range(40)])
+    # four indexes, then of their children the two by position and name
+    some = sorted(sitemap.expand(*frames, max_files=6).collect(), key=lambda r: r.ord)
+    assert [r.url for r in some] == ["https://h/p0"] * 2 + ["https://h/p10"] * 2
+    assert sitemap.expand(frames[0].limit(0), frames[1]).count() == 0
+
+
 def test_version_roots(spark):
     body, target = _urlset("https://h/en/latest/", "https://h/en/stable/", "https://h/en/v1/", "https://h/en/v1/x/", "https://h/en/latest/"), "https://h/en/latest/"
     got = spark.createDataFrame([(body, target)], "b string, t string").select(sitemap.version_roots(F.col("b"), F.col("t")).alias("r")).first().r
