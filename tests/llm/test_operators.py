@@ -145,6 +145,49 @@ def test_vectors_near_the_bound_at_any_block_width(spark, bits):
     assert exact == 800 and 0.98 * exact <= found <= exact
 
 
+@pytest.mark.parametrize("vectors", [50_000, 10**6, 10**9])
+def test_recall_at_the_bound_at_any_size(vectors):
+    """Pairs at a cosine of 0.90, made apart from those the model is tried on, by the tables of so many vectors."""
+    rng = np.random.default_rng(7)
+    sample = rng.normal(size=(2000, 64))
+    bits = itq.bits_for(vectors)
+    model = itq.fitted(sample, bits, 0.9)
+    for one, other in itq.made_pairs(rng.normal(size=(1000, 64)), 0.9, seed=99):
+        a, b = model.code(one), model.code(other)
+        near = np.bitwise_count(itq.short(a) ^ itq.short(b)).sum(axis=1) <= model.radius
+        assert ((model.keys(a) == model.keys(b)).any(axis=1) & near).mean() >= 0.985
+    far = model.code(rng.normal(size=(1000, 64)))
+    assert (itq.distances(itq.short(far), itq.short(far)) <= model.radius).mean() < 0.002  # each with itself, and few more
+
+
+def test_vectors_equal_brute_force(spark):
+    """All links and components of clusters of any tightness, some of them larger than a block."""
+    rng = np.random.default_rng(21)
+    rows = [rng.normal(size=24) + c * rng.normal(size=(n, 24)) for c, n in ((0.02, 150), (0.2, 90), (0.3, 60), (0.35, 60), (0.4, 60), (0.6, 20))] + [rng.normal(size=(200, 24))]
+    flat = np.concatenate(rows)
+    flat = np.concatenate([flat, flat[:20]]).astype(np.float32).astype(np.float64)
+    unit = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, True)
+    least = np.arange(len(flat))
+    for _ in range(len(flat)):
+        least, before = np.array([least[row].min() for row in close]), least
+        if (least == before).all():
+            break
+    frame = spark.createDataFrame([(i, [float(x) for x in v], "x") for i, v in enumerate(flat)], "vec_id long, embedding array<float>, node string")
+    for block_rows in (1024, 32):
+        out = itq.near_duplicate_vectors(frame, block_rows=block_rows).orderBy("vec_id").collect()
+        links = np.array([r.n_links for r in out])
+        assert (links <= close.sum(axis=1) - 1).all() and links.sum() >= 0.995 * (close.sum() - len(flat))
+        assert np.mean([r.component_id == c for r, c in zip(out, least, strict=True)]) >= 0.98 and all(r.kept == (r.vec_id == r.component_id) for r in out)
+
+
+def test_vectors_with_text_ids_are_refused(spark):
+    frame = spark.createDataFrame([("a", [1.0, 0.0])], "vec_id string, embedding array<double>")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        itq.near_duplicate_vectors(frame).collect()
+
+
 def test_vectors_of_several_lengths(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=32)) for i in range(60)] + [(100 + i, rng.normal(size=8)) for i in range(10)] + [(200, rng.normal(size=5))]
