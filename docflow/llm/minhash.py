@@ -7,13 +7,13 @@ coordinate k is the minimum of pi over the scattered shingles shifted by k place
 Rows with equal shingle sets are one class and count as one candidate. Classes that share a band are compared in rounds:
 with the smallest class of their bands, with another member of each band that still holds several components, and last
 with every member of another component in these bands: pair by pair in bands of up to PAIRED members, and in larger ones by
-products of shingle matrices over blocks of members, which emit one link for each component they join and no pairs. A pair that shares a band is
-thus compared, or already connected; neither the size of a band nor the number of its pairs is capped. At the default 45 bands of 6, a pair of similarity
+products of shingle matrices over blocks of members, which emit one link for each component they join and no pairs. Blocks are those of one band, or
+of all members that overlapping bands connect where these make fewer pairs. A pair that shares a band is thus compared, or already connected; neither the size of a band nor the number of its pairs is capped. At the default 45 bands of 6, a pair of similarity
 0.8 shares no band with a probability of 1e-6.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; a row without id can't stand for a
 class and has the component of the rows that share its set, or null. An id on several rows is one node. Ties go to the
-smallest id. Columns of the input other than id and text are ignored, whatever their names.
+smallest id. Ids are integers; a text that isn't one stops the job with Spark's cast error. Columns of the input other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ _PI = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 _BLOCK = 512
 #: Bands of more open members are compared in blocks of BLOCK_ROWS texts.
 PAIRED, BLOCK_ROWS = 24, 128
+#: Rows of one band that a task joins at once.
+SALTED = 512
 _COLUMNS = 4096
 
 
@@ -129,7 +131,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def block_batches(words: int, percent: int):
-    """A ``mapInArrow`` function over rows sorted by their first three: (cluster, block_a, block_b, block, id, label, text)
+    """A ``mapInArrow`` function over rows sorted by their first three: (group, block_a, block_b, block, id, label, text)
     -> (a, b), links that connect all components which similar texts of the two blocks connect."""
 
     def linked(rows: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -197,6 +199,14 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(text, F.length(text))
 
 
+def _beside(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """``rows`` (key, id, size, ...) with what ``bands`` (key, size, ...) holds once for each key; the rows of a large band are dealt out."""
+    count = F.expr(f"int(ceil(size / {SALTED}))")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("id"), count).cast("int"))
+    right = bands.withColumn("salt", F.explode(F.sequence(F.lit(0), count - 1))).drop("size")
+    return left.join(right, ["key", "salt"]).drop("salt")
+
+
 def _links(source: DataFrame, members: DataFrame, work: Workspace, words: int, percent: int) -> DataFrame:
     """Verified links (a, b) that connect all that share a band and are similar enough."""
     texts = work.save(source.join(members.select("id").distinct(), "id", "left_semi"))
@@ -220,16 +230,15 @@ def _links(source: DataFrame, members: DataFrame, work: Workspace, words: int, p
         if label is None or not fresh.where("linked").isEmpty():
             label = connected_components(links, work).withColumnRenamed("node", "id")
         labelled = members.select("key", "id", "n", "size").join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.expr("xxhash64(id, key)"), "id", "n", "label")).alias("pick"))
-        open_bands = mixed.where("low <> high").select("key", "pick.id", "pick.n", "pick.label").toDF("key", "b", "m", "other")
-        rest = work.save(labelled.join(open_bands, "key"))
+        pick = F.min(F.struct(F.expr("xxhash64(id, key)"), "id", "n", "label")).alias("pick")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), pick, F.max("size").alias("size"))
+        open_bands = mixed.where("low <> high").select("key", "pick.id", "pick.n", "pick.label", "size").toDF("key", "b", "m", "other", "size")
+        rest = work.save(_beside(labelled, open_bands))
         if rest.isEmpty():
             break
         pairs = rest.select(F.col("id").alias("a"), "b", "n", "m", "label", "other")
         if full:
-            sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("open_size"))
-            rest = work.save(rest.drop("size").join(sizes, "key"))
-            few = rest.where(F.col("open_size") <= PAIRED)
+            few = rest.where(F.col("size") <= PAIRED)
             left, right = few.select("key", F.col("id").alias("a"), "n", "label"), few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
             pairs = left.join(right, "key")
         pairs = pairs.where("label <> other").where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -237,26 +246,34 @@ def _links(source: DataFrame, members: DataFrame, work: Workspace, words: int, p
         tried = tried.unionByName(fresh)
         links = tried.where("linked").select("a", "b")
         if full:
-            many = rest.where(F.col("open_size") > PAIRED).select("id", "b", "label")
+            many = rest.where(F.col("size") > PAIRED).select("key", "id", "b", "label", "size")
             links = links.union(_block_links(many, texts, work, words, percent))
     return links
 
 
 def _block_links(many: DataFrame, texts: DataFrame, work: Workspace, words: int, percent: int) -> DataFrame:
-    """``many`` (id, b, label): members of large bands, each with one other member of its band. All members that bands
-    connect are one cluster, dealt out as pairs of blocks."""
+    """``many`` (key, id, b, label, size): members of large bands, each with one other member of its band.
+
+    They are dealt out as pairs of blocks, band by band. Where bands overlap so much that comparing all members which they connect at once
+    makes fewer pairs than comparing each band, these members are one group instead. A group never has more pairs than its bands."""
     many = work.save(many)
     if many.isEmpty():
         return many.select(F.col("id").alias("a"), "b").limit(0)
-    cluster = connected_components(many.select(F.col("id").alias("a"), "b"), work)
-    named = many.select("id", "label").distinct().join(cluster.withColumnRenamed("node", "id"), "id").withColumnRenamed("component", "cluster")
-    sizes = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    parts = named.join(sizes, "cluster").withColumn("parts", F.expr(f"int(ceil(size / {BLOCK_ROWS}))"))
+    cluster = work.save(connected_components(many.select(F.col("id").alias("a"), "b"), work).withColumnRenamed("component", "cluster"))
+    bands = many.select("key", "b", "size").distinct().join(cluster.withColumnRenamed("node", "b"), "b")
+    by_band = bands.groupBy("cluster").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("pairs"))
+    together = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    together = together.join(by_band, "cluster").where(F.col("size").cast("double") * F.col("size") <= F.col("pairs")).select("cluster", "size")
+    merged = cluster.join(together, "cluster").select(F.col("node").alias("id"), F.xxhash64(F.lit(1), "cluster").alias("group"), "size")
+    single = bands.join(together.select("cluster"), "cluster", "left_anti").select("key", "size")
+    alone = _beside(many.select("key", "id", "size"), single).select("id", F.xxhash64(F.lit(2), "key").alias("group"), "size")
+    named = merged.unionByName(alone).join(many.select("id", "label").distinct(), "id")
+    parts = named.withColumn("parts", F.expr(f"int(ceil(size / {BLOCK_ROWS}))"))
     parts = parts.withColumn("block", F.expr("int(pmod(xxhash64(id), parts))")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = parts.select("cluster", F.least("block", "with").alias("block_a"), F.greatest("block", "with").alias("block_b"), "block", "id", "label")
-    dealt = dealt.join(texts, "id").select("cluster", "block_a", "block_b", "block", "id", "label", "text")
+    dealt = parts.select("group", F.least("block", "with").alias("block_a"), F.greatest("block", "with").alias("block_b"), "block", "id", "label")
+    dealt = dealt.join(texts, "id").select("group", "block_a", "block_b", "block", "id", "label", "text")
     count = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(count, "cluster", "block_a", "block_b").sortWithinPartitions("cluster", "block_a", "block_b")
+    dealt = dealt.repartition(count, "group", "block_a", "block_b").sortWithinPartitions("group", "block_a", "block_b")
     return work.save(dealt.mapInArrow(block_batches(words, percent), "a long, b long"))
 
 

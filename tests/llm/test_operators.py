@@ -29,32 +29,64 @@ def test_minhash_edges_and_empty(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("copies", [3, 40])
-def test_minhash_equals_brute_force(spark, copies):
-    rng = random.Random(copies)
-    rows = []
-    for g in range(4):
-        base = prose(g, 120).split()
-        for c in range(copies):
-            own = list(base)
-            for at in rng.sample(range(120), rng.randrange(0, 12)):
-                own[at] = f"z{rng.randrange(10**6)}"
-            rows.append((g * 1000 + c, " ".join(own)))
-    sets = {i: {tuple(t.split()[j : j + 2]) for j in range(119)} for i, t in rows}
-    parent = {i: i for i in sets}
+def components_of(sets, percent=80):
+    """Smallest id that links of similar enough sets reach, by comparing all pairs."""
+    lead = {i: i for i in sets}
 
     def find(x):
-        while parent[x] != x:
-            x = parent[x]
+        while lead[x] != x:
+            x = lead[x]
         return x
 
     for a in sets:
         for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
-                parent[y] = x
+                lead[y] = x
+    return {i: find(i) for i in sets}
+
+
+def varied(seed, families, copies, changes, words=120):
+    """Families of texts of which each has some words of its own."""
+    rng, rows = random.Random(seed), []
+    for g in range(families):
+        base = prose(g, words).split()
+        for c in range(copies):
+            own = list(base)
+            for at in rng.sample(range(words), rng.randrange(*changes)):
+                own[at] = f"z{rng.randrange(10**6)}"
+            rows.append((g * 1000 + c, " ".join(own)))
+    return rows
+
+
+def pairs_of(text):
+    words = text.split()
+    return {tuple(words[j : j + 2]) for j in range(len(words) - 1)}
+
+
+@pytest.mark.parametrize("copies", [3, 40])
+def test_minhash_equals_brute_force(spark, copies):
+    rows = varied(copies, 4, copies, (0, 12))
+    got = minhash.near_duplicates(docs_of(spark, rows), shingle_words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == components_of({i: pairs_of(t) for i, t in rows})
+
+
+@pytest.mark.parametrize("group", ["band", "bands"])
+def test_minhash_blocks_equal_brute_force(spark, monkeypatch, group):
+    """Large open bands in small blocks: loose families overlap in many bands, and texts that lend each other a half make chains of bands."""
+    for name, value in (("PAIRED", 2), ("BLOCK_ROWS", 5), ("SALTED", 4)):
+        monkeypatch.setattr(minhash, name, value)
+    rows = varied(7, 3, 30, (4, 22))
+    if group == "band":
+        half = lambda n: prose(5000 + n, 60, 10**6)
+        rows = [(n * 10 + c, f"{half(n)} {half(n + 1)} {prose(n * 50 + c, 14, 10**7)}") for n in range(12) for c in range(5)]
     got = minhash.near_duplicates(docs_of(spark, rows), shingle_words=2).collect()
-    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
+    assert {r.doc_id: r.component_id for r in got} == components_of({i: pairs_of(t) for i, t in rows})
+
+
+def test_minhash_with_text_ids_is_refused(spark):
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        minhash.near_duplicates(spark.createDataFrame([("a", "x y")], "doc_id string, text string")).collect()
 
 
 def test_one_of_each_keeps_columns(spark):
