@@ -9,10 +9,13 @@ Weights become budgets of tokens, and budgets become documents: a seeded hash or
 random, its leading bits name blocks, and blocks are taken in order until the budget is met. Only the sums of blocks, then
 those of the blocks inside the one where the budget ends, then the documents of that inner block are looked at in order;
 no source is sorted as a whole. A budget of several times a source takes all of its documents that often, and a part once more.
+A repetition limit holds with any budget: what a source may not take goes to the others by their weights, and if all are at the limit, the rest
+of the budget is not taken.
 
 Defined cases: a null source is a source. Texts without words have no tokens: they go with their source's whole rounds, and cost nothing.
 A source without tokens has weight 0, and its documents are taken once if ``cover`` is set and not at all otherwise. Repeated rows are
-ordered alike and so taken or left together: budgets are met up to the rows of one hash. No rows give no rows.
+ordered alike and so taken or left together: budgets are met up to the rows of one hash. No rows give no rows. Columns of the input keep their
+names; a result whose name is taken, in any case of letters, gets ``mix_`` before it (``output_names``).
 """
 
 from __future__ import annotations
@@ -73,6 +76,37 @@ def source_weights(sizes: DataFrame, exponent: float) -> DataFrame:
     return shares.withColumn("weight", power / F.lit(norm))
 
 
+def output_names(columns: list[str]) -> dict[str, str]:
+    """What the results are called beside ``columns``."""
+    taken, names = {c.lower() for c in columns}, {}
+    for name in ("n_tokens", "weight", "copies", "order_key"):
+        free = name
+        while free.lower() in taken:
+            free = f"mix_{free}"
+        names[name] = free
+        taken.add(free.lower())
+    return names
+
+
+def limited(weighted: DataFrame, budget: int, most: float) -> DataFrame:
+    """``weighted`` (tokens, weight, ...) with wanted: the budget by weights, no source above ``most`` times its tokens.
+
+    Sources get the smaller of their limit and a multiple of their weight; the multiple that spends the budget is bisected."""
+    limit = F.lit(float(most)) * F.col("tokens")
+    room, high = weighted.where("weight > 0").agg(F.sum(limit), F.max(limit / F.col("weight"))).first()
+    scale = high or 0.0
+    if (room or 0.0) > budget:
+        low = float(budget)  # weights sum to 1, so this spends the budget at most
+        for _ in range(_PASSES):
+            points = [low + (scale - low) * i / (_POINTS - 1) for i in range(_POINTS)]
+            spent = weighted.agg(*(F.sum(F.least(limit, F.lit(x) * F.col("weight"))) for x in points)).first()
+            at = max((i for i, x in enumerate(spent) if x <= budget), default=0)
+            low, scale = points[at], points[min(at + 1, _POINTS - 1)]
+        scale = low
+    wanted = F.round(F.least(limit, F.lit(float(scale)) * F.col("weight"))).cast("long")
+    return weighted.withColumn("wanted", F.least(wanted, F.floor(limit)))
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -83,10 +117,12 @@ def mix(
     repeats: float | None = None,
     budget: int | None = None,
     rounds_of_corpus: float | None = None,
+    most_copies: float | None = None,
     seed: int = 17,
 ) -> DataFrame:
     """One row per row of ``docs``: its columns, n_tokens, weight (of its source), copies (0: not taken), order_key.
 
+    ``entropy`` or ``repeats`` finds the exponent. ``most_copies``: how often a source may be seen, by default ``repeats`` if that is given.
     ``budget``: tokens to take in all, or ``rounds_of_corpus`` times the tokens of ``docs``; neither: so many that no document
     is left out (cover). order_key orders the
     documents of the mixture at random: sorted by (copy, order_key) they are a training order.
@@ -106,20 +142,27 @@ def mix(
     weighted = source_weights(sizes, exponent)
     if budget is None and rounds_of_corpus is not None:
         budget = round(rounds_of_corpus * (found or 0))
+    most_copies = repeats if most_copies is None else most_copies
     if budget is None:  # the source that is seen least is seen once
         ratio = weighted.where("weight > 0").agg(F.max(F.col("tokens") / F.col("weight")).alias("r")).first()["r"] or 0.0
         wanted = F.greatest(F.round(F.lit(float(ratio)) * F.col("weight")).cast("long"), F.col("tokens"))
+        if most_copies is not None:
+            wanted = F.least(wanted, F.floor(F.lit(float(most_copies)) * F.col("tokens")))
+        plan = weighted.withColumn("wanted", wanted)
+    elif most_copies is not None:
+        plan = limited(weighted, budget, most_copies)
     else:
-        wanted = F.round(F.lit(float(budget)) * F.col("weight")).cast("long")
+        plan = weighted.withColumn("wanted", F.round(F.lit(float(budget)) * F.col("weight")).cast("long"))
     rounds = F.when(F.col("tokens") > 0, F.expr("wanted div tokens")).otherwise(F.lit(1 if budget is None else 0).cast("long"))
-    plan = weighted.withColumn("wanted", wanted).withColumn("rounds", rounds)
+    plan = plan.withColumn("rounds", rounds)
     plan = work.save(plan.select("source", "weight", "rounds", (F.col("wanted") - F.col("rounds") * F.col("tokens")).alias("rest")))
     edges = _cuts(slim, plan, work)
 
     # rows of one source are many: its plan meets them in a join that can be split, or is broadcast if measured to be small
+    result = output_names(docs.columns)
     out = rows.withColumns({"n_tokens": tokens(text), "order_key": order})
     out = out.join(edges, source.eqNullSafe(edges["source"]), "left").withColumn("copies", (F.col("rounds") + F.when(F.col("order_key") <= F.col("last"), 1).otherwise(0)).cast("long"))
-    return out.select(*(F.col(names[c]).alias(c) for c in docs.columns), "n_tokens", "weight", "copies", "order_key")
+    return out.select(*(F.col(names[c]).alias(c) for c in docs.columns), *(F.col(c).alias(result[c]) for c in result))
 
 
 def _cuts(slim: DataFrame, plan: DataFrame, work: Workspace) -> DataFrame:

@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a column ``score_col`` from 0 to 1: how likely label 1 is."""
+    """``docs`` with a column ``score_col`` from 0 to 1: how likely label 1 is. It takes the place of a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number for each of BUCKETS
 
     @F.pandas_udf("double")
