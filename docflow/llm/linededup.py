@@ -8,7 +8,8 @@ the pass uses totals gathered from all partitions (two rows each). Dropped posit
 document, which the document meets again to lose its lines.
 
 Defined cases: a null or empty text is one empty line. Rows that share an id (null ids share one) count as one document;
-each keeps its own bitmap, told apart by a hash of its text. Other columns pass through.
+each keeps its own bitmap, told apart by a hash of its text. Ids are integers; a text that isn't one stops the job with Spark's cast error.
+Other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from docflow.llm.workspace import Workspace
 _SPACE = " \t\n\x0b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITMAPS = "row_id long, row_hash long, keep binary"
+#: Bytes of bitmaps for each partition up to which documents meet them in a hash join.
+HASHED_BYTES = 32 << 20
 
 
 def line_key(line: Column) -> Column:
@@ -136,7 +139,7 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(row_id, row_hash, keep) of each document that loses lines: bit i of the decompressed ``keep`` is 0 if line i goes."""
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
-    rows = line_rows(docs, id_col, text_col, min_chars)
+    rows = work.save(line_rows(docs, id_col, text_col, min_chars))  # ranges are found by a pass of their own, which needn't split the texts again
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(partitions, "h1", "h2", F.desc("doc")).sortWithinPartitions("h1", "h2", F.desc("doc"), "pos")
     ordered = work.checkpoint(ordered)  # keeps the order in partitions, for two passes
@@ -147,13 +150,17 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         edges[h1, h2] = total + n, max((x for x in (largest, first) if x is not None), default=None)
     dropped = ordered.mapInArrow(_dropper(edges, min_docs), "row_id long, row_hash long, pos int")
     positions = dropped.groupBy("row_id", "row_hash").agg(F.collect_set("pos").alias("drop"))
-    return positions.mapInArrow(_pack, BITMAPS)
+    return work.save(positions.mapInArrow(_pack, BITMAPS))
 
 
 def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options).toDF("__row_id", "__row_hash", "__keep")
     key = docs[id_col].cast("long").eqNullSafe(maps["__row_id"]) & (_row_hash(F.coalesce(docs[text_col], F.lit(""))) == maps["__row_hash"])
-    return docs.join(maps.hint("shuffle_hash"), key, "left")
+    # a hash join needn't sort the texts, but holds the bitmaps of a partition in memory: only where their measured size is small
+    held = maps.agg(F.coalesce(F.sum(F.length("__keep") + F.lit(64)), F.lit(0))).first()[0]
+    if held <= HASHED_BYTES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        maps = maps.hint("shuffle_hash")
+    return docs.join(maps, key, "left")
 
 
 def _split(texts: pa.Array, bitmaps: pa.Array) -> Iterator[tuple[list[str], np.ndarray]]:
