@@ -6,12 +6,16 @@ labelled rows for each language; the models are stored as sorted arrays of 64-bi
 A text gets the language of the lowest cross-entropy per character. A temperature and a bound on the entropy, both fitted on a part of
 the sample that the counts don't use, turn it into a calibrated probability and a rejection.
 
+Words are runs of what isn't ASCII white space, in lower case.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Rows with null language are never learned
-from; with no row to learn from, everything is ``und``. Ties go to the first language by name.
+from; with no row to learn from, everything is ``und``. Ties go to the first language by name. Ids are integers; a text that isn't one stops the job with
+Spark's cast error. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +30,7 @@ from docflow.llm.words import mix64, word_chunks
 
 UNKNOWN = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +51,6 @@ def gram_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
     return hashes
 
 
-def _gram_hash(gram: str) -> int:
-    return int(gram_hashes(np.frombuffer(gram.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), len(gram))[len(gram)][-1])
-
-
 @dataclass
 class Model:
     """grams/contexts: for each order sorted hashes; logp and backoff: a row for each hash, a column for each language."""
@@ -115,8 +116,8 @@ def _count_grams(order: int):
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = counts.setdefault(lang, Counter())
-                for word, n in Counter((text or "").lower().split()).items():
-                    padded = f" {word} "
+                for word, n in Counter(_WORD.findall(text or "")).items():  # words as in scoring
+                    padded = f" {word.lower()} "
                     for end in range(2, len(padded) + 1):
                         own[padded[max(0, end - order) : end]] += n  # the longest gram that ends here
         rows = [(lang, gram, n) for lang, own in counts.items() for gram, n in own.items()]
@@ -125,61 +126,88 @@ def _count_grams(order: int):
     return run
 
 
+def _chain(codes: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams given as rows of code points, as ``gram_hashes`` chains them."""
+    out = np.zeros(len(codes), dtype=np.uint64)
+    for j in range(codes.shape[1]):
+        out = mix64(out * _STEP + codes[:, j].astype(np.uint64) + np.uint64(j + 1))
+    return out
+
+
+@dataclass
+class _Level:
+    """The n-grams of one language and one n, sorted by hash: code points, counts, probabilities; and the weights of their contexts."""
+
+    codes: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
+    prob: np.ndarray
+    contexts: np.ndarray
+    weight: np.ndarray
+
+
+def _levels(codes: np.ndarray, sizes: np.ndarray, n: np.ndarray, order: int, discount: float, alphabet: int) -> list[_Level]:
+    """Levels 1 to ``order`` of one language. codes: rows of ``order`` code points of which the first ``size`` count."""
+    levels: list[_Level] = []
+    above = np.zeros((0, order + 1), dtype=codes.dtype)
+    for size in range(order, 0, -1):
+        # a shorter gram counts the characters before it; at the start of a word, occurrences
+        own = sizes == size
+        rows = np.concatenate([codes[own][:, :size], above[:, 1 : size + 1]])
+        counts = np.concatenate([n[own].astype(np.float64), np.ones(len(above))])
+        hashes, first, inverse = np.unique(_chain(rows), return_index=True, return_inverse=True)
+        above = rows[first]
+        none = np.zeros(0)
+        levels.insert(0, _Level(above, hashes, np.bincount(inverse, weights=counts, minlength=len(hashes)), none, none, none))
+    lower = np.full(len(levels[0].hashes), 1 / alphabet)
+    for at, level in enumerate(levels):
+        if at:
+            lower = levels[at - 1].prob[np.searchsorted(levels[at - 1].hashes, _chain(level.codes[:, 1:]))]
+        level.contexts, which = np.unique(_chain(level.codes[:, :-1]), return_inverse=True)
+        total = np.bincount(which, weights=level.counts, minlength=len(level.contexts))
+        level.weight = discount * np.bincount(which, minlength=len(level.contexts)) / total
+        level.prob = (level.counts - discount) / total[which] + level.weight[which] * lower
+    return levels
+
+
 def build(counts: pd.DataFrame, order: int, discount: float = 0.75) -> Model:
-    """``counts`` (lang, gram, n): the longest grams, those at the start of a word are shorter."""
+    """``counts`` (lang, gram, n): the longest grams, those at the start of a word are shorter. Level by level over sorted arrays of hashes."""
     languages = sorted(counts.lang.unique())
-    alphabet = len(set("".join(counts.gram))) + 1
-    logp: list[dict[str, np.ndarray]] = [{} for _ in range(order + 1)]
-    backoff: list[dict[str, np.ndarray]] = [{} for _ in range(order + 1)]
-    models = []
-    for lang in languages:
-        own = counts[counts.lang == lang]
-        levels: list[Counter] = [Counter() for _ in range(order + 1)]
-        for gram, n in zip(own.gram, own.n, strict=True):
-            levels[len(gram)][gram] += int(n)
-        for n in range(order, 1, -1):
-            for gram in levels[n]:  # a shorter gram counts the characters before it; at the start of a word, occurrences
-                levels[n - 1][gram[1:]] += 1
-        prob: list[dict[str, float]] = [{} for _ in range(order + 1)]
-        weight: list[dict[str, float]] = [{} for _ in range(order + 1)]
-        for n in range(1, order + 1):
-            total, kinds = Counter(), Counter()
-            for gram, c in levels[n].items():
-                total[gram[:-1]] += c
-                kinds[gram[:-1]] += 1
-            for context, c in total.items():
-                weight[n - 1][context] = discount * kinds[context] / c
-            for gram, c in levels[n].items():
-                context = gram[:-1]
-                lower = prob[n - 1][gram[1:]] if n > 1 else 1 / alphabet
-                prob[n][gram] = (c - discount) / total[context] + weight[n - 1][context] * lower
-        models.append((prob, weight))
-
-    def value(prob, weight, gram: str) -> float:
-        scale = 1.0
-        while gram:
-            if gram in prob[len(gram)]:
-                return scale * prob[len(gram)][gram]
-            scale *= weight[len(gram) - 1].get(gram[:-1], 1.0)
-            gram = gram[1:]
-        return scale / alphabet
-
-    for n in range(1, order + 1):
-        for gram in set().union(*(prob[n] for prob, _ in models)):
-            logp[n][gram] = np.log([value(prob, weight, gram) for prob, weight in models])
-    for n in range(order):
-        for context in set().union(*(weight[n] for _, weight in models)):
-            backoff[n][context] = np.log([weight[n].get(context, 1.0) for _, weight in models])
-
-    def table(values: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        names = np.array([_gram_hash(g) if g else 0 for g in values], dtype=np.uint64)
-        rows = np.array(list(values.values())).reshape(len(names), len(languages))
-        rank = np.argsort(names, kind="stable")
-        return names[rank], rows[rank]
-
-    grams, contexts = [table(x) for x in logp], [table(x) for x in backoff]
-    floor = np.log([weight[0].get("", 1.0) / alphabet for _, weight in models])
-    return Model(languages, order, [g[0] for g in grams], [g[1] for g in grams], [c[0] for c in contexts], [c[1] for c in contexts], floor)
+    sizes = np.fromiter(map(len, counts.gram), dtype=np.int64, count=len(counts))
+    flat = np.frombuffer("".join(counts.gram).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = np.zeros((len(counts), order), dtype=np.uint32)
+    codes[np.arange(order)[None, :] < sizes[:, None]] = flat
+    alphabet = len(np.unique(flat)) + 1
+    lang, n = counts.lang.to_numpy(), counts.n.to_numpy()
+    models = [_levels(codes[lang == x], sizes[lang == x], n[lang == x], order, discount, alphabet) for x in languages]
+
+    grams, logp = [np.zeros(0, dtype=np.uint64)], [np.zeros((0, len(languages)))]
+    contexts, backoff = [], []
+    before = np.full((1, len(languages)), 1 / alphabet)
+    for at in range(order):
+        every = np.concatenate([m[at].codes for m in models])
+        hashes, first = np.unique(np.concatenate([m[at].hashes for m in models]), return_index=True)
+        rows = every[first]
+        # of a language without the gram: that of the gram less its first character, times the weight of its context
+        shorter = before[np.searchsorted(grams[at], _chain(rows[:, 1:])) if at else np.zeros(len(rows), dtype=np.int64)]
+        value = np.empty((len(rows), len(languages)))
+        for j, m in enumerate(models):
+            found, where = _lookup(m[at].hashes, hashes)
+            has, of = _lookup(m[at].contexts, _chain(rows[:, :-1]))
+            weight = np.ones(len(rows))
+            weight[has] = m[at].weight[of[has]]
+            value[:, j] = weight * shorter[:, j]
+            value[found, j] = m[at].prob[where[found]]
+        grams.append(hashes)
+        logp.append(np.log(value))
+        before = value
+        known = np.unique(np.concatenate([m[at].contexts for m in models]))
+        weights = np.ones((len(known), len(languages)))
+        for j, m in enumerate(models):
+            weights[np.searchsorted(known, m[at].contexts), j] = m[at].weight
+        contexts.append(known)
+        backoff.append(np.log(weights))
+    return Model(languages, order, grams, logp, contexts, backoff, backoff[0][0] - np.log(alphabet))
 
 
 def calibrate(model: Model, sums: np.ndarray, truth: np.ndarray) -> None:
