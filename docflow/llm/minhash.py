@@ -34,8 +34,8 @@ _PI = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 _BLOCK = 512
 #: Bands of more open members are compared in blocks of BLOCK_ROWS texts.
 PAIRED, BLOCK_ROWS = 24, 128
-#: Rows of one band that a task joins at once.
-SALTED = 512
+#: Rows of one band that a task joins at once; parts in which the rows of any cluster are dealt out.
+SALTED, SALTS = 512, 32
 _COLUMNS = 4096
 
 
@@ -262,10 +262,12 @@ def _block_links(many: DataFrame, texts: DataFrame, work: Workspace, words: int,
     cluster = work.save(connected_components(many.select(F.col("id").alias("a"), "b"), work).withColumnRenamed("component", "cluster"))
     bands = many.select("key", "b", "size").distinct().join(cluster.withColumnRenamed("node", "b"), "b")
     by_band = bands.groupBy("cluster").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("pairs"))
-    together = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    together = together.join(by_band, "cluster").where(F.col("size").cast("double") * F.col("size") <= F.col("pairs")).select("cluster", "size")
-    merged = cluster.join(together, "cluster").select(F.col("node").alias("id"), F.xxhash64(F.lit(1), "cluster").alias("group"), "size")
-    single = bands.join(together.select("cluster"), "cluster", "left_anti").select("key", "size")
+    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    choice = sizes.join(by_band, "cluster").select("cluster", "members", (F.col("members").cast("double") * F.col("members") <= F.col("pairs")).alias("together"))
+    choice = work.save(choice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))  # a cluster may hold most rows
+    salted = lambda rows, by: rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(choice, ["cluster", "salt"])
+    merged = salted(cluster, "node").where("together").select(F.col("node").alias("id"), F.xxhash64(F.lit(1), "cluster").alias("group"), F.col("members").alias("size"))
+    single = salted(bands, "key").where("not together").select("key", "size")
     alone = _beside(many.select("key", "id", "size"), single).select("id", F.xxhash64(F.lit(2), "key").alias("group"), "size")
     named = merged.unionByName(alone).join(many.select("id", "label").distinct(), "id")
     parts = named.withColumn("parts", F.expr(f"int(ceil(size / {BLOCK_ROWS}))"))
