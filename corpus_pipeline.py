@@ -39,7 +39,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the copies that even sources out: none is seen more than four times as often as the largest."""
     mixed = mixing.mix(docs, repeats=4.0)
-    return mixed.where("copies > 0")
+    return mixed.where(f"`{mixing.output_names(docs.columns)['copies']}` > 0")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -23,6 +24,16 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(~text.rlike(ASCII), text)), text)
 
 
+@F.pandas_udf(StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else html.unescape(t))
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded. Python sees a null in place of a text without any."""
+    return F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at the ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -28,12 +28,14 @@ def _http_or_empty(url: Column, value: Column) -> Column:
 
 
 def frontier_form(url: Column) -> Column:
-    """Of an absolute URL: scheme and host lower, no trailing slashes, no fragment, no tracking keys. Parameters are kept
-    as written, blank values included."""
-    slim = F.regexp_replace(path(url), "/+$", "")
+    """Of an absolute URL: scheme and host lower, no trailing slashes, no fragment, no parameters of the last segment (``;x``), no tracking keys.
+    Queries are encoded anew, blank values included; a malformed escape stays as it is written."""
+    slim = F.regexp_replace(F.regexp_replace(path(url), ";[^/]*$", ""), "/+$", "")
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    coded = lambda x: F.replace(F.replace(F.url_encode(decoded(x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     keys = F.array(*(F.lit(k) for k in rules.TRACKING_KEYS))
-    pairs = F.filter(F.split(F.substr(part(url, 4), F.lit(2)), "&"), lambda p: (p != "") & ~F.array_contains(keys, F.lower(F.regexp_extract(p, "^[^=]*", 0))))
-    pairs = F.transform(pairs, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))
+    pairs = F.filter(F.split(F.substr(part(url, 4), F.lit(2)), "&"), lambda p: (p != "") & ~F.array_contains(keys, F.lower(decoded(F.regexp_extract(p, "^[^=]*", 0)))))
+    pairs = F.transform(pairs, lambda p: F.concat(coded(F.regexp_extract(p, "^[^=]*", 0)), F.lit("="), coded(F.regexp_extract(p, "^[^=]*=?(.*)$", 1))))
     query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
     return _http_or_empty(url, F.concat(F.lower(part(url, 1)), F.lit("://"), domain(url), F.when(slim == "", "/").otherwise(slim), query))
 
@@ -49,17 +51,30 @@ def seed_form(url: Column) -> Column:
     return F.coalesce(_http_or_empty(url, F.concat(F.lower(part(url, 1)), F.lit("://"), domain(url), F.when(path(url) == "", "/").otherwise(path(url)))), F.lit(""))
 
 
+def _join(base_path: Column, link_path: Column) -> Column:
+    """The path of a link: its own if it begins with /, else from the base's folder, then without empty segments inside. ``.`` and ``..`` are resolved."""
+    rooted = link_path.startswith("/")
+    folder = F.when(rooted, F.array().cast("array<string>")).otherwise(F.split(F.regexp_extract(base_path, "^.*/", 0), "/"))
+    every = F.concat(folder, F.split(link_path, "/"))
+    inner = F.filter(every, lambda x, i: rooted | (x != "") | (i == 0) | (i == F.size(every) - 1))
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(inner, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    last = F.when(F.element_at(inner, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    joined = F.array_join(F.concat(kept, last), "/")
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+
 def resolve(base: Column, link: Column) -> Column:
-    """Absolute URL of a link for the common forms (absolute, //host, /path, query, fragment, relative without dots)."""
+    """Absolute URL of a link on a page with an absolute URL. Links with a scheme or a host stay as they are."""
     root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
+    own = F.regexp_extract(link, "^[^?#]*", 0)
     return (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(part(base, 1), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(root, link))
         .when(link == "", base)
         .when(link.startswith("?"), F.concat(root, path(base), link))
         .when(link.startswith("#"), F.concat(root, path(base), part(base, 4), link))
-        .otherwise(F.concat(root, F.coalesce(F.nullif(F.regexp_extract(path(base), "^.*/", 0), F.lit("")), F.lit("/")), link))
+        .otherwise(F.concat(root, _join(path(base), own), F.substr(link, F.length(own) + 1)))
     )
 
 
@@ -90,6 +105,11 @@ def document_format(url: Column) -> Column:
     return F.when(low.endswith(".pdf"), "pdf").when(low.endswith(".md") | low.endswith(".markdown"), "markdown").otherwise("html")
 
 
+def is_asset(url: Column) -> Column:
+    """Whether a URL's path names a file that is no page of documentation."""
+    return ends_with_any(F.lower(path(url)), rules.NON_DOC_ASSETS)
+
+
 def ends_with_any(text: Column, suffixes: tuple[str, ...]) -> Column:
     return text.rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docflow.functions import text as T
 
@@ -14,6 +14,31 @@ def record_words(blocks: Column, codes: Column) -> Column:
     return block + F.aggregate(codes, F.lit(0), lambda n, c: n + of(c["text"]))
 
 
+def is_valid(url: Column, title: Column, words: Column) -> Column:
+    """A record with a URL, a title and more than ten words."""
+    return (F.coalesce(url, F.lit("")) != "") & (F.coalesce(title, F.lit("")) != "") & (words > 10)
+
+
+def excerpt(blocks: Column, chars: int = 500) -> Column:
+    """The beginning of a record's block texts, joined by blanks."""
+    texts = F.filter(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), lambda t: t != "")
+    return F.substring(F.array_join(texts, " "), 1, chars)
+
+
+def judge_sample(records: DataFrame, order: str, by: str) -> DataFrame:
+    """The first, middle and last record of each group in ``order``, which is unique in it: what a judge is shown."""
+    numbered = records.select(by, order).withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+    size = numbered.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    chosen = numbered.join(size, by).where((F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1) | (F.col("_i") == F.floor(F.col("_n") / 2)))
+    return records.join(chosen.select(by, order), [by, order], "left_semi")
+
+
+def clean_share(answer: Column) -> Column:
+    """Share of CLEAN among the verdicts (CLEAN or JUNK) of a judge's answer; null without one."""
+    verdicts = F.regexp_extract_all(F.upper(answer), F.lit(r"\b(CLEAN|JUNK)\b"), F.lit(1))
+    return F.when(F.size(verdicts) > 0, F.size(F.filter(verdicts, lambda v: v == "CLEAN")) / F.size(verdicts))
+
+
 def quality(rows: DataFrame, *by: str, words: str = "words", valid: str = "valid") -> DataFrame:
     """structural, density, scope and passed of all rows, or of each group; no rows give zeros."""
     grouped = rows.groupBy(*by) if by else rows

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from docflow.functions import urls as U
-from docflow.operators import cleaning, dedup, html_record, render
+from docflow.operators import cleaning, dedup, html_record, markdown_doc, render
 from docflow.plans.workspace import Workspace
 
 
@@ -42,6 +42,14 @@ def visits(edges: DataFrame, starts: list[str], *, max_pages: int | None, max_de
     return visited if max_pages is None else visited.orderBy("depth", "path").limit(max_pages)
 
 
+def read_pages(pages: DataFrame) -> DataFrame:
+    """Records of ``pages`` (url, html), each by the reader of its format: Markdown by its path's ending, HTML otherwise. PDF files are no text, and
+    have no record here: theirs come from spans (``operators.pdf``)."""
+    kind = U.document_format(F.col("url"))
+    pages = pages.withColumn("_format", F.coalesce(kind, F.lit("html")))
+    return html_record.extract(pages.where("_format = 'html'")).unionByName(markdown_doc.extract(pages.where("_format = 'markdown'"), text_col="html"))
+
+
 def collect_records(pages: DataFrame, start_url: str, *, max_pages: int | None = None, max_depth: int | None = None, include_sparse: bool = False) -> Crawl:
     """Follow links from ``start_url`` through ``pages`` (url, html). A page that isn't in the table is a record with an error.
 
@@ -54,7 +62,7 @@ def collect_records(pages: DataFrame, start_url: str, *, max_pages: int | None =
         raise ValueError(f"not a web address: {start_url!r}")
     site = pages.withColumn("_u", U.frontier_form(F.col("url"))).where((F.col("_u") == start) | U.is_relevant(F.col("_u"), start))
     first = site.groupBy(F.col("_u").alias("url")).agg(F.min_by("html", F.coalesce("url", F.lit(""))).alias("html"))
-    records = work.save(html_record.extract(first))
+    records = work.save(read_pages(first))
     edges = records.select(F.col("url").alias("src"), F.posexplode("links").alias("pos", "to")).select("src", "pos", U.frontier_form(F.col("to")).alias("dst"))
     edges = work.save(edges.where((F.col("dst") != "") & U.is_relevant(F.col("dst"), start)))
     seen = work.save(visits(edges, [start], max_pages=max_pages, max_depth=max_depth))

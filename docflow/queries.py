@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docflow import rules, schema
 from docflow.functions import html_signals as H, text as T, urls as U
-from docflow.operators import adaptive, cleaning, dedup, frontier, html_record, markdown_doc, parsers, pdf, quality, render, sections, seeds
+from docflow.operators import adaptive, cleaning, dedup, frontier, html_record, llms, markdown_doc, parsers, pdf, quality, render, sections, seeds
 from docflow.plans import crawl
 from docflow.sources import probe, sitemap
 
@@ -395,6 +395,57 @@ def llms_bundle_pages(docs):
     return parsers.bundle_pages(bundles, "doc_id", "content").drop("description")
 
 
+@query("llms_records", "documents", rf"""
+WITH d AS (SELECT doc_id, str_split(regexp_replace({_MARKDOWN}, '(?m)^(##\s+)', chr(1) || '\1', 'g'), chr(1)) AS s FROM documents),
+e AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS p FROM d),
+t AS (SELECT doc_id, p, trim(regexp_replace(split_part(regexp_replace(x, '^\s+', ''), chr(10), 1), '^#+\s+', '')) AS title,
+             regexp_replace(substr(regexp_replace(x, '^\s+', ''), length(split_part(regexp_replace(x, '^\s+', ''), chr(10), 1)) + 1), '^\s+|\s+$', '', 'g') AS body FROM e),
+b AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM t WHERE body <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY p) AS k FROM b)
+SELECT 'https://h/' || doc_id || '/llms-full.txt#' || CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS url, title,
+       array_to_string(list_filter(list_transform(regexp_split_to_array(body, '(?s)```(\w+)?\n(.*?)```'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), '|') AS paragraphs,
+       coalesce(array_to_string(list_transform(regexp_extract_all(body, '(?s)```(\w+)?\n(.*?)```', 2), lambda c: trim(c, chr(10))), '|'), '') AS code
+FROM n""")
+def llms_records(docs):
+    """Whole texts as full llms files: their sections as records with all paragraphs and code."""
+    sources = _markdown(docs).select(F.concat(F.lit("https://h/"), F.col("doc_id").cast("string"), F.lit("/llms-full.txt")).alias("url"), F.col("md").alias("content"))
+    out = llms.full_records(sources)
+    return out.select("url", "title", F.array_join(F.transform("content_blocks", lambda b: b["text"]), "|").alias("paragraphs"), F.array_join(F.transform("code_blocks", lambda c: c["text"]), "|").alias("code"))
+
+
+@query("judge_sample", "documents", """
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT source, doc_id, substr(text, 1, 500) AS excerpt FROM n WHERE i IN (0, n // 2, n - 1)""")
+def judge_sample(docs):
+    """What a judge of each source is shown: its first, middle and last text, cut as an excerpt."""
+    blocks = F.array(schema.block("paragraph", text=F.col("text")))
+    return quality.judge_sample(docs, "doc_id", "source").select("source", "doc_id", quality.excerpt(blocks).alias("excerpt"))
+
+
+@query("api_records", "documents", """
+SELECT doc_id, 0 AS order_index, 'POST /' || source || '/{id} — ' || lang AS title, 'post-' || trim(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '-') || '-id' AS anchor, text AS description,
+       't' || lang || '|' || source AS tags, 'id (path, required): ' || lang || '|q (query, optional)' AS parameters, '200: ' || source AS responses FROM documents""")
+def api_records(docs):
+    """Each document as the description of an operation: all that its record holds."""
+    parameter = lambda name, place, needed, text: F.struct(F.lit(name).alias("name"), F.lit(place).alias("in"), F.lit(needed).alias("required"), text.alias("description"))
+    parameters = F.array(parameter("id", "path", True, F.col("lang")), parameter("q", "query", False, F.lit(None).cast("string")))
+    answers = F.create_map(F.lit("200"), F.struct(F.col("source").alias("description")))
+    operation = F.struct(F.col("lang").alias("summary"), F.col("text").alias("description"), F.array(F.concat(F.lit("t"), "lang"), "source").alias("tags"), parameters.alias("parameters"), answers.alias("responses"))
+    spec = F.struct(F.create_map(F.concat(F.lit("/"), "source", F.lit("/{id}")), F.struct(operation.alias("post"))).alias("paths"))
+    out = parsers.api_operations(docs.select("doc_id", F.to_json(spec).alias("body")), "doc_id", "body")
+    return out.select("doc_id", "order_index", "title", "anchor", "description", *(F.array_join(c, "|").alias(c) for c in ("tags", "parameters", "responses")))
+
+
+@query("link_frontier", "pages", f"""
+WITH RECURSIVE {_EDGES}, hosts AS (SELECT min(page_id) AS page_id FROM pages GROUP BY lower(@part(2))),
+walk(node, depth) AS (SELECT url, 0 FROM pages JOIN hosts USING (page_id) UNION SELECT e.url, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 50 AND e.url IS NOT NULL)
+SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+def link_frontier(pages):
+    """All that the links of the pages reach from the first page of each host, to their end."""
+    first = pages.groupBy(U.domain(F.col("url")).alias("host")).agg(F.min_by("url", "page_id").alias("node"))
+    return frontier.traverse(first.select("node"), _edges(pages).select("src", F.col("url").alias("dst")))
+
+
 @query("openapi_operations", "pages", """
 SELECT page_id, o AS order_index, t || CASE WHEN t LIKE 'GET%' THEN ' — List ' || page_id ELSE '' END AS title, a AS anchor
 FROM pages, (VALUES (0, 'GET /z', 'get-z'), (0, 'POST /z', 'post-z'), (1, 'DELETE /a/{id}', 'delete-a-id')) v(o, t, a)""")
