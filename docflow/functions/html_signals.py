@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from docflow import rules
-from docflow.functions import text as T
+from docflow.functions import text as T, urls as U
 
 #: The five predefined entities and the blank; others stay as written.
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -34,3 +34,15 @@ def nav_labels(html: Column) -> Column:
 
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit("(?i)" + rules.LINK_PATTERN), F.lit(1))
+
+
+def attribute_urls(html: Column, tag: str, attribute: str, base: Column) -> Column:
+    """URLs that an attribute of a tag names, in the form of seeds, each once and sorted."""
+    pattern = rf"(?i)<{tag}\b[^>]*\b{attribute}=['\"]([^'\"]+)['\"][^>]*>"
+    found = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda u: U.seed_form(U.resolve(base, u)))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda u: u != "")))
+
+
+def is_pagination(label: Column) -> Column:
+    """Whether the text of a control promises more content."""
+    return U.contains_any(F.lower(F.coalesce(label, F.lit(""))), rules.PAGINATION_HINTS)

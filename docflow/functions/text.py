@@ -62,6 +62,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+def title_case(text: Column) -> Column:
+    """Every run of letters with a capital first and the rest small, digits and marks ending a run."""
+    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+
+
 def looks_like_code(text: Column) -> Column:
     token = F.lit(False)
     for t in rules.CODE_TOKENS:

@@ -110,6 +110,13 @@ def is_asset(url: Column) -> Column:
     return ends_with_any(F.lower(path(url)), rules.NON_DOC_ASSETS)
 
 
+def moved(url: Column, host: Column, old: str, new: str) -> Column:
+    """A URL of ``host`` with the beginning ``old`` of its path replaced by ``new``; null for other hosts, other paths and files that are no pages."""
+    target = F.concat(F.lit(new), F.substr(path(url), F.lit(len(old) + 1)))
+    ours = (domain(url) == F.lower(host)) & path(url).startswith(old) & ~ends_with_any(F.lower(target), rules.BULK_ASSETS)
+    return F.when(ours, F.concat(part(url, 1), F.lit("://"), part(url, 2), target, part(url, 4), part(url, 5)))
+
+
 def ends_with_any(text: Column, suffixes: tuple[str, ...]) -> Column:
     return text.rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
 
@@ -137,6 +144,12 @@ def is_relevant(url: Column, start_url: str) -> Column:
     return allowed & (under | contains_any(low, rules.DOC_SIGNALS))
 
 
+def looks_like_document(status: Column, final_url: Column, content_type: Column, start: Column) -> Column:
+    """Whether a response is a page of the start's host: no failure, and a type of text, or none. An unknown status is no failure."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    return (F.coalesce(status, F.lit(0)) < 400) & (seed_form(final_url) != "") & F.coalesce(domain(final_url) == domain(start), F.lit(False)) & ((kind == "") | contains_any(kind, rules.DOCUMENT_TYPES))
+
+
 def is_viable_seed(url: Column, start: Column, blocked: tuple[str, ...] = rules.BLOCKED_SEEDS) -> Column:
     low, start_path = F.lower(path(url)), F.lower(F.regexp_replace(path(start), "/+$", ""))
     under = (start_path != "") & low.startswith(F.concat(start_path, F.lit("/")))

@@ -86,6 +86,11 @@ def clean_records(records: DataFrame) -> DataFrame:
     return out.withColumn("errors", F.when(empty, F.concat(errors, F.array(F.lit(EMPTY_NOTE)))).otherwise(errors)).select(*records.columns)
 
 
+def is_sparse(blocks: Column, codes: Column) -> Column:
+    """A clean record without blocks and code, whatever else it has."""
+    return (F.coalesce(F.size(blocks), F.lit(0)) <= 0) & (F.coalesce(F.size(codes), F.lit(0)) <= 0)
+
+
 def is_navigation_only(blocks: Column, codes: Column, links: Column, errors: Column) -> Column:
     """A raw record with links and nothing else."""
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0

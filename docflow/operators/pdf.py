@@ -66,7 +66,7 @@ def _grouped(blocks: DataFrame, *by: str) -> DataFrame:
 def title(url: Column, named: Column) -> Column:
     """The title that a PDF names, else its file name in words."""
     name = F.regexp_replace(F.regexp_extract(url, r"^[^?#]*?([^/?#]*)(?:[?#].*)?$", 1), r"\.pdf$", "")
-    spaced = F.initcap(F.translate(name, "-_", "  "))
+    spaced = T.title_case(F.translate(name, "-_", "  "))
     return F.coalesce(F.nullif(T.strip(F.coalesce(named, F.lit(""))), F.lit("")), F.nullif(spaced, F.lit("")), url)
 
 

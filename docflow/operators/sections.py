@@ -11,10 +11,8 @@ FENCE = r"(?s)```(\w+)?\n(.*?)```"
 
 def at_headings(text: Column, level: int) -> Column:
     """Text before the first heading of a level (if not blank), then a section for each; nothing without headings."""
-    cut = F.split(text, rf"(?m)(?=^#{{{level}}}\s+)")
-    parts = F.transform(cut, T.strip)
-    starts = lambda s: s.rlike(rf"^#{{{level}}}\s+")
-    return F.when(F.exists(cut, starts), F.filter(parts, lambda s: s != "")).otherwise(F.array().cast("array<string>"))
+    parts = F.transform(F.split(text, rf"(?m)(?=^#{{{level}}}\s+)"), T.strip)
+    return F.when(text.rlike(rf"(?m)^#{{{level}}}\s+\S"), F.filter(parts, lambda s: s != "")).otherwise(F.array().cast("array<string>"))
 
 
 def sections(text: Column) -> Column:

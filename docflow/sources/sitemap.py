@@ -97,6 +97,12 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return robots.select("start", F.concat(root, F.lit("/sitemap.xml")).alias("sitemap")).unionByName(named).distinct()
 
 
+def bulk_urls(locs: DataFrame, host: Column, old: str, new: str) -> DataFrame:
+    """``locs`` (pos, url) of a sitemap -> (pos, url): its pages under ``old``, moved to ``new``, each once where it came first."""
+    moved = locs.select("pos", U.moved(F.btrim("url"), host, old, new).alias("url")).where("url is not null")
+    return moved.groupBy("url").agg(F.min("pos").alias("pos")).select("pos", "url")
+
+
 def seed_urls(sitemaps: DataFrame, files: DataFrame, *, max_files: int | None = MAX_SEED_FILES, max_urls: int | None = MAX_SEED_URLS) -> DataFrame:
     """Viable seeds of ``sitemaps`` (start, sitemap) -> (start, url), by a pattern and not by XML; smallest file names first.
 

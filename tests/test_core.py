@@ -3,7 +3,7 @@ import random
 import duckdb
 import pytest
 
-from docflow import queries as core
+from docflow import queries as core, site_queries  # noqa: F401  (the second registers its queries with the first)
 from docflow.operators import dedup, frontier, render, sections
 from pyspark.sql import functions as F
 
