@@ -47,21 +47,23 @@ def _hashes(parsed: Column, min_chars: int) -> Column:
     cut = F.filter(parsed, lambda x, i: ~((x["level"] == 0) & x["body"].rlike(ANNOUNCE) & F.coalesce(F.get(parsed, i + 1)["level"] > 0, F.lit(False))))
     own = F.struct(F.lit(0).alias("level"), F.array_join(F.transform(F.filter(cut, lambda x: x["level"] == 0), lambda x: x["body"]), " ").alias("body")).cast(passage)
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(x["level"].alias("level"), F.concat(last["body"], F.lit(" "), x["body"]).alias("body")).cast(passage)
-        same = (F.size(acc) > 0) & F.coalesce(last["level"] == x["level"], F.lit(False))
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(x.cast(passage))))
-
-    runs = F.filter(F.aggregate(parsed, F.array().cast(f"array<{passage}>"), step), lambda x: x["level"] > 0)
+    def between(starts: Column) -> Column:
+        length = lambda s, k: F.coalesce(F.get(starts, k + 1), F.size(parsed)) - s
+        body = lambda s, k: F.array_join(F.transform(F.slice(parsed, s + 1, length(s, k)), lambda x: x["body"]), " ")
+        return F.transform(starts, lambda s, k: F.struct(F.get(parsed, s)["level"].alias("level"), body(s, k).alias("body")).cast(passage))
+
+    # the lines at which the level changes; an array of one element, so that they are found once and not for each passage
+    places = F.sequence(F.lit(0), F.size(parsed) - 1)
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(parsed, i)["level"] != F.get(parsed, i - 1)["level"]))
+    runs = F.filter(F.transform(F.array(starts), between)[0], lambda x: x["level"] > 0)
     passages = F.filter(F.transform(F.concat(F.array(own), runs), lambda x: F.struct(x["level"].alias("level"), normalised(x["body"]).alias("body"))), lambda x: x["body"] != "")
     lines_ = F.filter(F.transform(parsed, lambda x: F.struct(x["level"].alias("level"), normalised(x["body"]).alias("body"))), lambda x: F.length(x["body"]) >= min_chars)
     made = lambda level, whole, value: F.struct(level.alias("level"), F.lit(whole).alias("whole"), F.xxhash64(value).alias("hash"))
     # an array of structs, so that the words of a passage are split once and not for each run
     worded = F.transform(passages, lambda p: F.struct(p["level"].alias("level"), F.split(p["body"], " ").alias("words")))
-    starts = lambda p: F.sequence(F.lit(0), F.greatest(F.size(p["words"]) - SHINGLE, F.lit(0)))
+    first = lambda p: F.sequence(F.lit(0), F.greatest(F.size(p["words"]) - SHINGLE, F.lit(0)))
     run = lambda p, i: F.concat_ws(" ", *(F.get(p["words"], i + j) for j in range(SHINGLE)))
-    shingles = lambda p: F.when(F.size(p["words"]) >= SHINGLE, F.transform(starts(p), lambda i: made(p["level"], False, run(p, i))))
+    shingles = lambda p: F.when(F.size(p["words"]) >= SHINGLE, F.transform(first(p), lambda i: made(p["level"], False, run(p, i))))
     parts = F.filter(F.transform(worded, shingles), lambda x: x.isNotNull())
     return F.concat(F.transform(passages, lambda p: made(p["level"], True, p["body"])), F.transform(lines_, lambda x: made(x["level"], False, x["body"])), F.flatten(parts))
 
@@ -82,7 +84,9 @@ def conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: s
     )
     parsed = work.save(rows.withColumn("lines", lines(F.col("raw"))).withColumn("key", F.xxhash64("role", F.coalesce("raw", F.lit("")))).drop("raw"))
 
-    known = parsed.where("conv_id is not null and turn is not null")
+    # only conversations that quote can link, so that the others' texts aren't hashed
+    quoting = parsed.where(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id").distinct()
+    known = parsed.where("conv_id is not null and turn is not null").join(quoting, "conv_id", "left_semi")
     each = known.select("conv_id", "turn", "key", F.explode(_hashes(F.col("lines"), min_chars)).alias("x")).select("conv_id", "turn", "key", "x.*")
     quoted = each.where("level > 0").groupBy("conv_id", "whole", "hash", "turn", "key").agg(F.min("level").alias("level"))
     written = each.where("level = 0").groupBy("conv_id", "whole", "hash").agg(F.min("turn").alias("parent"))

@@ -576,3 +576,15 @@ def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert 0 < len(out) <= docs.count() and (out.copies >= 1).all() and set(docs.columns) <= set(out.columns)
+
+
+def test_quotations_of_many_lines_and_levels(spark):
+    """A long message is a passage of its own level at each change of level, and conversations without quotations stay as they are."""
+    body = "\n".join(f"line number {i} of a long text" for i in range(3000))
+    quoted = "\n".join("> " * (1 + i % 2) + f"line number {i} of a long text" for i in range(3000))
+    rows = [(1, 1, "a", body), (1, 2, "b", "Is it?"), (1, 3, "a", quoted + "\nYes."), (1, 4, "b", "> is   IT?\n>> Yes.\nNo."), (2, 1, "a", body), (2, 2, "b", "no quotation")]
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (r.reply_to, r.thread, r.depth, r.n_quoted) for k, r in got.items()} == {
+        (1, 1): (None, 1, 0, 0), (1, 2): (None, 2, 0, 0), (1, 3): (1, 1, 1, 3000), (1, 4): (2, 2, 1, 2), (2, 1): (None, 1, 0, 0), (2, 2): (None, 2, 0, 0),
+    }
+    assert got[1, 3].text == "Yes." and got[2, 1].text == body
