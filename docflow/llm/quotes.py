@@ -84,8 +84,9 @@ def conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: s
     )
     parsed = work.save(rows.withColumn("lines", lines(F.col("raw"))).withColumn("key", F.xxhash64("role", F.coalesce("raw", F.lit("")))).drop("raw"))
 
-    # only conversations that quote can link, so that the others' texts aren't hashed
-    quoting = parsed.where(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id").distinct()
+    # only conversations that quote can link, so that the others' texts aren't hashed; their ids are saved, so that a table measured to be small is
+    # broadcast, and both sides are shuffled otherwise
+    quoting = work.save(parsed.where(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id").distinct())
     known = parsed.where("conv_id is not null and turn is not null").join(quoting, "conv_id", "left_semi")
     each = known.select("conv_id", "turn", "key", F.explode(_hashes(F.col("lines"), min_chars)).alias("x")).select("conv_id", "turn", "key", "x.*")
     quoted = each.where("level > 0").groupBy("conv_id", "whole", "hash", "turn", "key").agg(F.min("level").alias("level"))
