@@ -43,12 +43,12 @@ def urls_in_result_page(html: Column, engine: str) -> Column:
     return F.filter(F.transform(hrefs, lambda h: F.when(h.contains("uddg="), target(h)).when(h.rlike("^https?://") & ~h.contains(engine), h)), lambda u: F.coalesce(u, F.lit("")) != "")
 
 
-def page_context(pages: DataFrame, observed: DataFrame | None = None) -> DataFrame:
+def page_context(pages: DataFrame, observed: DataFrame | None = None, key: str = "url") -> DataFrame:
     """What a start page tells of its site: ``pages`` (url, html and more) with title, headings, nav_labels and the sorted URLs of its host:
     internal_links, script_urls, iframe_urls, network_urls, interaction_urls.
 
-    ``observed`` (url, kind, found): what a browser saw on a page, of kind network or interaction; without it both lists are empty. A page with
-    null html has an empty title and empty lists."""
+    ``observed`` (url, kind, found): what a browser saw on a page, of kind network or interaction; without it both lists are empty. Where several
+    pages have one URL, ``key`` names a column of both tables that tells them apart. A page with null html has an empty title and empty lists."""
     url, html = F.col("url"), F.coalesce("html", F.lit(""))
     viable = lambda found: F.filter(found, lambda u: U.is_viable_seed(u, url))
     ours = lambda found: F.filter(found, lambda u: U.domain(u) == U.domain(url))
@@ -59,9 +59,9 @@ def page_context(pages: DataFrame, observed: DataFrame | None = None) -> DataFra
     none = F.array().cast("array<string>")
     if observed is None:
         return out.withColumns({"network_urls": none, "interaction_urls": none})
-    seen = observed.select("url", "kind", U.seed_form(F.col("found")).alias("found")).where(U.is_viable_seed(F.col("found"), url) & ((F.col("kind") != "network") | ~U.is_asset(F.col("found"))))
-    lists = seen.groupBy("url").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("found")))).alias(f"{k}_urls") for k in ("network", "interaction")))
-    return out.join(lists, "url", "left").withColumns({f"{k}_urls": F.coalesce(f"{k}_urls", none) for k in ("network", "interaction")})
+    seen = observed.select("url", F.col(key).alias("_key"), "kind", U.seed_form(F.col("found")).alias("found")).where(U.is_viable_seed(F.col("found"), url) & ((F.col("kind") != "network") | ~U.is_asset(F.col("found"))))
+    lists = seen.groupBy("_key").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("found")))).alias(f"{k}_urls") for k in ("network", "interaction")))
+    return out.join(lists.withColumnRenamed("_key", key), key, "left").withColumns({f"{k}_urls": F.coalesce(f"{k}_urls", none) for k in ("network", "interaction")})
 
 
 def ranked(candidates: DataFrame) -> DataFrame:

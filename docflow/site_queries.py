@@ -69,8 +69,8 @@ def page_context(pages):
     added = (F.lit('<script async src="/js/'), _id("page_id"), F.lit(".js\"></script><iframe src='//else.example/f'></iframe><a href='/docs/"), _id("page_id"), F.lit("#x'></a><a href='/docs/x.pdf'></a>"))
     html = F.concat(*added, F.col("html"))
     at = lambda name: F.concat(_root(), F.lit(name), _id("page_id"))
-    seen = pages.where("page_id % 2 = 0").select("url", F.lit("network").alias("kind"), F.explode(F.array(at("/api/"), F.concat(at("/api/"), F.lit(".css")), F.lit("https://else.example/docs"))).alias("found"))
-    out = seeds.page_context(pages.withColumn("html", html), seen)
+    seen = pages.where("page_id % 2 = 0").select("page_id", "url", F.lit("network").alias("kind"), F.explode(F.array(at("/api/"), F.concat(at("/api/"), F.lit(".css")), F.lit("https://else.example/docs"))).alias("found"))
+    out = seeds.page_context(pages.withColumn("html", html), seen, "page_id")
     joined = lambda c, by=" ": F.array_join(F.array_sort(c), by)
     return out.select("page_id", "title", joined("headings", "|").alias("headings"), joined("internal_links").alias("links"), joined("script_urls").alias("scripts"), joined("iframe_urls").alias("iframes"), joined("network_urls").alias("network"))
 

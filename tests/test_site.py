@@ -47,3 +47,9 @@ def test_pagination_sparse_and_titles(spark):
 
 def test_sections_need_a_heading_with_text(spark):
     assert [_one(spark, sections.at_headings(F.col("t"), 2), t=t) for t in ("a\n## ", "", "a\n## b\nc\n## d", "### x")] == [[], [], ["a", "## b\nc", "## d"], []]
+
+
+def test_page_context_of_pages_with_one_url(spark):
+    pages = spark.createDataFrame([(1, "https://h/docs/", "x"), (2, "https://h/docs/", "y")], "id int, url string, html string")
+    seen = spark.createDataFrame([(1, "https://h/docs/", "network", "https://h/docs/a"), (3, "https://h/docs/", "network", "https://h/docs/b")], "id int, url string, kind string, found string")
+    assert {r.id: r.network_urls for r in seeds.page_context(pages, seen, "id").collect()} == {1: ["https://h/docs/a"], 2: []}
