@@ -35,8 +35,8 @@ def full_records(sources: DataFrame) -> DataFrame:
     heading = _heading_text(F.regexp_extract("body", r"(?m)^\s{0,3}#{1,6}\s+.+?$", 0))
     place = F.when(F.col("url") != "", F.col("url")).when(F.col("path") != "", U.resolve(base, F.col("path"))).otherwise(F.concat(base, F.lit("#page-"), number))
     title = F.when(F.col("title") != "", F.btrim(T.unescaped(F.col("title")))).when(heading != "", heading).otherwise(F.concat(F.lit("Page "), number))
-    body = F.when(F.col("description") != "", F.concat("description", F.lit("\n\n"), "body")).otherwise(F.col("body"))
-    bundled = pages.select("source_url", F.col("pos").alias("order_index"), place.alias("url"), title.alias("title"), T.unescaped(body).alias("body"))
+    body = T.strip(F.when(F.col("description") != "", F.concat("description", F.lit("\n\n"), "body")).otherwise(F.col("body")))
+    bundled = pages.where(body != "").select("source_url", F.col("pos").alias("order_index"), place.alias("url"), title.alias("title"), T.unescaped(body).alias("body"))
 
     cut = sections.sections(F.col("content"))
     parts = named.where(~F.col("content").rlike(parsers.BUNDLE)).select("source_url", F.posexplode(F.when(F.size(cut) > 0, cut).otherwise(F.array(T.strip(F.col("content"))))).alias("order_index", "section"))

@@ -76,3 +76,16 @@ def test_render_chunks_of_many_pages_have_the_names_of_the_sql(spark, tmp_path):
     pages = spark.range(1001).select("id", F.lit("x").alias("section"))
     names = [r.name for r in markdown.chunk_documents(pages, arrival="id", order=["id"], section="section", title="T", prefix="p", pages=1).collect()]
     assert len(set(names)) == 1001 and "p_part_1001_of_1001.md" in names
+
+
+def test_bundle_pages_keep_every_text(spark, tmp_path):
+    from docflow import queries
+    from docflow.operators import llms
+
+    texts = [None, "", " \n", "\tx\t\n", "a\nURL: b\nDescription: c\nd", "Description: e\n\nf", "url: g", "h]"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.pos): (r.url, r.body) for r in queries.QUERIES["llms_bundle_pages"](spark, str(tmp_path)).collect()}
+    assert got == {(n, pos): (f"https://h/{n}", t if t is None else t.strip(" \n")) for n, t in enumerate(texts) for pos in (0, 1)}
+    bundle = '<page path="/a"><![CDATA[URL: https://h/x\nDescription: Only this\n]]></page><page path="/b"><![CDATA[URL: https://h/y\n\t\n]]></page>'
+    records = llms.full_records(spark.createDataFrame([("https://h/f", bundle)], "url string, content string")).collect()
+    assert [(r.url, r.content_blocks[0].text) for r in records] == [("https://h/x", "Only this")]
