@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -11,17 +11,19 @@ from pyspark.sql.types import StringType
 
 from docflow import rules
 
-ASCII = r"^[\x00-\x7F]*$"
+#: Unicode white space, as ``(?U)\\s`` has it.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, computed once: a column that occurs several times in another is computed each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def nfc(text: Column) -> Column:
-    """Unicode composition. Python sees a null in place of an ASCII text."""
-    return F.coalesce(_nfc(F.when(~text.rlike(ASCII), text)), text)
+    """Unicode composition by ICU, which is part of Spark: no Python. ASCII texts stay as they are."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(F.octet_length(text) != F.length(text), composed).otherwise(text)
 
 
 @F.pandas_udf(StringType())
@@ -36,7 +38,7 @@ def unescaped(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def squash(text: Column) -> Column:

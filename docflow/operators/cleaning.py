@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from docflow import rules
 from docflow.functions import text as T
@@ -15,17 +10,11 @@ from docflow.functions import text as T
 EMPTY_NOTE = "cleaner: empty content after cleaning"
 
 
-def _composed(value):
-    if isinstance(value, str):
-        return unicodedata.normalize("NFC", value)
-    if isinstance(value, list):
-        return [_composed(v) for v in value]
-    return {k: _composed(v) for k, v in value.items()} if isinstance(value, dict) else value
-
-
-@F.pandas_udf(StringType())
-def _compose_json(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else json.dumps(_composed(json.loads(t)), ensure_ascii=False))
+def _composed(blocks: Column) -> Column:
+    """Blocks with composed texts, items and cells."""
+    items = lambda cells: F.transform(cells, T.nfc)
+    fields = {"text": T.nfc, "items": items, "rows": lambda rows: F.transform(rows, items)}
+    return F.transform(blocks, lambda b: F.struct(*(fields.get(n, lambda c: c)(b[n]).alias(n) for n in ("type", "level", "text", "items", "rows", "code_block_index"))))
 
 
 def _prose(text: Column) -> Column:
@@ -54,32 +43,29 @@ def clean_blocks(blocks: Column) -> Column:
         text = F.when(kind.isin("heading", "paragraph", "list", "table"), _prose(b["text"])).otherwise(b["text"])
         return F.struct(kind.alias("type"), b["level"].alias("level"), text.alias("text"), items.alias("items"), rows.alias("rows"), b["code_block_index"].alias("code_block_index"))
 
-    kept = F.filter(F.transform(blocks, one), has_content)
-
     def prose(b: Column) -> Column:
         return F.when(b["type"] == "paragraph", b["text"]).when(b["type"] == "list", F.array_join(b["items"], "\n"))
 
     # the prose stands at its own position and short or other blocks at one of their own, so that only long prose can repeat
-    keys = F.transform(kept, lambda b, i: F.when(F.length(prose(b)) >= rules.DUPLICATE_PROSE_CHARS, F.concat(b["type"], F.lit(":"), prose(b))).otherwise(i.cast("string")))
-    paired = F.arrays_zip(kept.alias("b"), keys.alias("k"))
-    return F.transform(F.filter(paired, lambda p, i: F.array_position(F.transform(paired, lambda q: q["k"]), p["k"]) == i + 1), lambda p: p["b"])
+    def first(kept: Column) -> Column:
+        keys = F.transform(kept, lambda b, i: F.when(F.length(prose(b)) >= rules.DUPLICATE_PROSE_CHARS, F.concat(b["type"], F.lit(":"), prose(b))).otherwise(i.cast("string")))
+        return T.once(keys, lambda k: F.filter(kept, lambda _, i: F.array_position(k, F.get(k, i)) == i + 1))
+
+    return T.once(F.filter(F.transform(blocks, one), has_content), first)
 
 
 def clean_records(records: DataFrame) -> DataFrame:
     """``records`` (title, content_blocks, code_blocks, errors and more) clean; a record with nothing left gets a note among its errors."""
     kept = [c for c in records.columns if c not in ("title", "content_blocks", "code_blocks", "errors")]
-    parts = F.struct("title", "content_blocks", "code_blocks")
-    schema = records.select(parts.alias("p")).schema["p"].dataType
-    # records of ASCII texts stay as they are: their JSON is a null for Python
-    mixed = F.when(~F.to_json(parts).rlike(T.ASCII), F.to_json(parts))
-    composed = records.withColumn("_p", F.coalesce(F.from_json(_compose_json(mixed), schema), parts))
+    codes = F.transform("code_blocks", lambda c: F.struct(T.nfc(c["language"]).alias("language"), T.nfc(c["text"]).alias("text")))
+    composed = records.withColumns({"title": T.nfc(F.col("title")), "content_blocks": _composed(F.col("content_blocks")), "code_blocks": codes})
     no_codes = F.array().cast(records.schema["code_blocks"].dataType)
     codes = F.transform(
-        F.coalesce("_p.code_blocks", no_codes),
+        F.coalesce("code_blocks", no_codes),
         lambda c: F.struct(F.nullif(_prose(c["language"]), F.lit("")).alias("language"), T.clean_code(F.coalesce(c["text"], F.lit("")), compose=False).alias("text")),
     )
     no_blocks = F.array().cast(records.schema["content_blocks"].dataType)
-    out = composed.select(*kept, "errors", _prose(F.col("_p.title")).alias("title"), F.coalesce("_p.content_blocks", no_blocks).alias("_b"), codes.alias("code_blocks"))
+    out = composed.select(*kept, "errors", _prose(F.col("title")).alias("title"), F.coalesce("content_blocks", no_blocks).alias("_b"), codes.alias("code_blocks"))
     out = out.withColumn("content_blocks", clean_blocks(F.col("_b"))).drop("_b")
     empty = (F.size("content_blocks") == 0) & (F.size("code_blocks") == 0)
     errors = F.coalesce("errors", F.array().cast("array<string>"))

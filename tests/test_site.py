@@ -89,3 +89,21 @@ def test_bundle_pages_keep_every_text(spark, tmp_path):
     bundle = '<page path="/a"><![CDATA[URL: https://h/x\nDescription: Only this\n]]></page><page path="/b"><![CDATA[URL: https://h/y\n\t\n]]></page>'
     records = llms.full_records(spark.createDataFrame([("https://h/f", bundle)], "url string, content string")).collect()
     assert [(r.url, r.content_blocks[0].text) for r in records] == [("https://h/x", "Only this")]
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_are_cleaned_without_python(spark, sf):
+    from docflow import queries
+    from docflow.schema import BLOCK, CODE
+
+    assert "Eval" not in _plan(queries.QUERIES["clean_records"](spark, sf))
+    text = "e\u0301" * 45
+    block = (None, None, text, [text, None], [[text]], None)
+    rows = [("e\u0301", [("paragraph", *block[1:]), ("paragraph", *block[1:]), ("list", *block[1:]), ("table", *block[1:]), ("code", *block[1:])], [("e\u0301", text)], None)]
+    got = cleaning.clean_records(spark.createDataFrame(rows, f"title string, content_blocks array<{BLOCK}>, code_blocks array<{CODE}>, errors array<string>")).first()
+    whole = "\xe9" * 45
+    assert (got.title, got.code_blocks[0].language, got.code_blocks[0].text) == ("\xe9", "\xe9", whole) and [b.type for b in got.content_blocks] == ["paragraph", "list", "table", "code"]
+    assert [b.text for b in got.content_blocks] == [whole] * 4 and got.content_blocks[1]["items"] == [whole] and got.content_blocks[2]["rows"] == [[whole]] and got.content_blocks[3]["items"] == [whole, None]
