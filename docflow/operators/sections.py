@@ -17,9 +17,13 @@ def at_headings(text: Column, level: int) -> Column:
 
 def sections(text: Column) -> Column:
     """By second-level headings; few and very long ones by third-level headings, if there are ten."""
-    two, three = at_headings(text, 2), at_headings(text, 3)
-    longest = F.array_max(F.transform(two, lambda s: F.size(T.words(s))))
-    return F.when((F.size(two) <= 10) & (F.coalesce(longest, F.lit(0)) > 3000) & (F.size(three) >= 10), three).otherwise(two)
+    long = lambda s: (F.length(s) > 6000) & (F.size(F.split(s, r"(?U)\s+")) > 3000)  # noqa: E731  3001 words have 3000 blanks between them
+
+    def chosen(two: Column) -> Column:
+        finer = T.once(at_headings(text, 3), lambda three: F.when(F.size(three) >= 10, three).otherwise(two))
+        return F.when((F.size(two) <= 10) & F.exists(two, long), finer).otherwise(two)
+
+    return T.once(at_headings(text, 2), chosen)
 
 
 def slug(title: Column) -> Column:

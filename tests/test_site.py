@@ -107,3 +107,9 @@ def test_records_are_cleaned_without_python(spark, sf):
     whole = "\xe9" * 45
     assert (got.title, got.code_blocks[0].language, got.code_blocks[0].text) == ("\xe9", "\xe9", whole) and [b.type for b in got.content_blocks] == ["paragraph", "list", "table", "code"]
     assert [b.text for b in got.content_blocks] == [whole] * 4 and got.content_blocks[1]["items"] == [whole] and got.content_blocks[2]["rows"] == [[whole]] and got.content_blocks[3]["items"] == [whole, None]
+
+
+def test_sections_are_cut_once(spark):
+    frame = spark.createDataFrame([(None,), ("",), ("## a\nb",), ("## a\n" + "### b\n\n" + "w  " * 2998 + "\n### c" * 7,), ("## a\n### b\n" + "w  " * 2900 + "\n### c" * 10,), ("## a\n" + "### b\n\n" + "w\u2003" * 2998 + "\n### c" * 10,)], "t string")
+    out = frame.select(sections.sections(F.col("t")).alias("s"))
+    assert [len(r.s) for r in out.collect()] == [0, 0, 1, 1, 1, 12] and _plan(out).count("(?=^#{2}") == 1 and _plan(out).count("(?=^#{3}") == 1
