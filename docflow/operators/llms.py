@@ -30,7 +30,8 @@ def full_records(sources: DataFrame) -> DataFrame:
     an anchor, which repeats of a title number. A null or empty content has none."""
     named = sources.select(F.col("url").alias("source_url"), F.coalesce("content", F.lit("")).alias("content"))
     base = F.regexp_replace("source_url", "#.*$", "")
-    pages = parsers.bundle_pages(named, "source_url", "content")
+    marked = F.col("content").contains("<page")
+    pages = parsers.bundle_pages(named.where(marked), "source_url", "content")
     number = (F.col("pos") + 1).cast("string")
     heading = _heading_text(F.regexp_extract("body", r"(?m)^\s{0,3}#{1,6}\s+.+?$", 0))
     place = F.when(F.col("url") != "", F.col("url")).when(F.col("path") != "", U.resolve(base, F.col("path"))).otherwise(F.concat(base, F.lit("#page-"), number))
@@ -38,8 +39,8 @@ def full_records(sources: DataFrame) -> DataFrame:
     body = T.strip(F.when(F.col("description") != "", F.concat("description", F.lit("\n\n"), "body")).otherwise(F.col("body")))
     bundled = pages.where(body != "").select("source_url", F.col("pos").alias("order_index"), place.alias("url"), title.alias("title"), T.unescaped(body).alias("body"))
 
-    cut = sections.sections(F.col("content"))
-    parts = named.where(~F.col("content").rlike(parsers.BUNDLE)).select("source_url", F.posexplode(F.when(F.size(cut) > 0, cut).otherwise(F.array(T.strip(F.col("content"))))).alias("order_index", "section"))
+    cut = T.once(sections.sections(F.col("content")), lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(T.strip(F.col("content")))))
+    parts = named.where(~(marked & F.col("content").rlike(parsers.BUNDLE))).select("source_url", F.posexplode(cut).alias("order_index", "section"))
     first = F.regexp_extract("section", r"^[^\r\n]*", 0)
     parts = parts.select("source_url", "order_index", _heading_text(first).alias("title"), T.strip(F.substr("section", F.length(first) + 1)).alias("body")).where("body <> ''")
     parts = parts.withColumn("title", F.when(F.col("title") == "", "Untitled").otherwise(F.col("title")))

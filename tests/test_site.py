@@ -122,3 +122,11 @@ def test_prose_is_cleaned_without_python(spark, sf):
     texts = [None, "", "a", "e\u0301\x00\t b", "\u1112\u1161\u11ab \u3000"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.clean_prose(F.col("t")).alias("p"), T.clean_code(F.col("t")).alias("c")).collect()
     assert [(r.p, r.c) for r in got] == [(None, None), ("", ""), ("a", "a"), ("\xe9 b", "\xe9\t b"), ("\ud55c", "\ud55c \u3000")]
+
+
+def test_llms_files_are_cut_once(spark):
+    from docflow.operators import llms
+
+    out = llms.full_records(spark.createDataFrame([("u", "## a\nb"), ("v", "x <page y\nz"), ("w", '<page><![CDATA[c]]></page>')], "url string, content string"))
+    assert sorted((r.source_url, r.title, [b.text for b in r.content_blocks]) for r in out.collect()) == [("u", "a", ["b"]), ("v", "x <page y", ["z"]), ("w", "Page 1", ["c"])]
+    assert _plan(out).count("(?=^#{2}") == 1
